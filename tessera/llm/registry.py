@@ -21,6 +21,12 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(documents(spark, sf_dir))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import with_next
+
+    return with_next(documents(spark, sf_dir))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -47,7 +53,7 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict:
-    return {"op1_exact_dedup": op1_exact_dedup, "op3_secrets": op3_secrets, "op4_packing": op4_packing, "op5_licenses": op5_licenses, "op8_mixing": op8_mixing}
+    return {"op1_exact_dedup": op1_exact_dedup, "op3_secrets": op3_secrets, "op4_packing": op4_packing, "op5_licenses": op5_licenses, "op6_fingerprints": op6_fingerprints, "op8_mixing": op8_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
