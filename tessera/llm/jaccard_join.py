@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import from_planes, planes
 from .components import components
 from .scratch import Scratch
 from .shingles import WIDTH, mix64, shingle_sets
@@ -53,30 +54,20 @@ def _summary(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(each, "doc_id long, n long, k1 long, k2 long")
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Byte planes: the zero bytes of small numbers lie together."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
-
-
-def _unplanes(raw: memoryview, dtype: str, n: int) -> np.ndarray:
-    size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size).reshape(size, n).T).view(dtype).reshape(n)
-
-
 BLOCK = "bucket long, n_docs long, n_keys long, packed binary"
 
 
 def _pack(ids: np.ndarray, keys: np.ndarray, owner: np.ndarray) -> bytes:
     """ids ascending; keys sorted, owner the place of each key's document in ids."""
-    raw = _planes(np.diff(ids, prepend=np.int64(0))) + _planes(np.diff(keys, prepend=keys[:1] * 0)) + _planes(owner.astype(np.uint32))
+    raw = planes(np.diff(ids, prepend=np.int64(0))) + planes(np.diff(keys, prepend=keys[:1] * 0)) + planes(owner.astype(np.uint32))
     return pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def _unpack(packed: bytes, n_docs: int, n_keys: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw = memoryview(pa.decompress(packed, decompressed_size=8 * n_docs + 8 * n_keys, codec="zstd", asbytes=True))
-    ids = np.cumsum(_unplanes(raw[: 8 * n_docs], "<i8", n_docs))
-    keys = np.cumsum(_unplanes(raw[8 * n_docs : 8 * n_docs + 4 * n_keys], "<u4", n_keys), dtype=np.uint32)
-    return ids, keys, _unplanes(raw[8 * n_docs + 4 * n_keys :], "<u4", n_keys)
+    ids = np.cumsum(from_planes(raw[: 8 * n_docs], "<i8", n_docs))
+    keys = np.cumsum(from_planes(raw[8 * n_docs : 8 * n_docs + 4 * n_keys], "<u4", n_keys), dtype=np.uint32)
+    return ids, keys, from_planes(raw[8 * n_docs + 4 * n_keys :], "<u4", n_keys)
 
 
 def _blocks(docs: DataFrame, buckets: int, width: int) -> DataFrame:
@@ -143,7 +134,7 @@ def _replies(blocks: DataFrame, dests: int) -> DataFrame:
         edges = np.append(np.flatnonzero(np.diff(dest, prepend=-1)), len(dest))
         rows = []
         for a, b in zip(edges, edges[1:], strict=False):
-            raw = _planes(np.diff(owner[a:b], prepend=np.int64(0))) + _planes(low[a:b]) + _planes(df[a:b].astype("<u4"))
+            raw = planes(np.diff(owner[a:b], prepend=np.int64(0))) + planes(low[a:b]) + planes(df[a:b].astype("<u4"))
             rows.append((int(dest[a]), int(bucket), int(b - a), pa.compress(raw, codec="zstd", asbytes=True)))
         cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
         return pa.table({"dest": pa.array(cols[0], pa.int64()), "n_docs": pa.array(cols[1], pa.int64()), "n_keys": pa.array(cols[2], pa.int64()), "packed": pa.array(cols[3], pa.binary()), "doc_id": pa.nulls(len(rows), pa.int64()), "n": pa.nulls(len(rows), pa.int64())})
@@ -164,9 +155,9 @@ def _assemble(replies: DataFrame, need: int) -> DataFrame:
         owners, tokens, dfs = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
         for bucket, n, packed in zip(*(packs.column(c).to_pylist() for c in ("n_docs", "n_keys", "packed")), strict=True):
             raw = memoryview(pa.decompress(packed, decompressed_size=16 * n, codec="zstd", asbytes=True))
-            owners.append(np.cumsum(_unplanes(raw[: 8 * n], "<i8", n)))
-            tokens.append(_unplanes(raw[8 * n : 12 * n], "<u4", n).astype(np.uint64) | np.uint64(bucket << 32))
-            dfs.append(_unplanes(raw[12 * n :], "<u4", n))
+            owners.append(np.cumsum(from_planes(raw[: 8 * n], "<i8", n)))
+            tokens.append(from_planes(raw[8 * n : 12 * n], "<u4", n).astype(np.uint64) | np.uint64(bucket << 32))
+            dfs.append(from_planes(raw[12 * n :], "<u4", n))
         owner, token, df = np.concatenate(owners), np.concatenate(tokens), np.concatenate(dfs)
         order = np.argsort(owner, kind="stable")
         owner, token, df = owner[order], token[order], df[order]
