@@ -29,3 +29,50 @@ def unpack(packed: bytes, *columns: tuple[str, int]) -> list[np.ndarray]:
         out.append(from_planes(raw[at : at + size], dtype, n))
         at += size
     return out
+
+
+#: What a block of documents sends to a hash partition of keys, and what comes back: n numbers in the order of its keys.
+SENT = "block long, part long, n long, packed binary"
+LOW_BITS = np.uint64(40)
+
+
+def block_table(rows: list[tuple]) -> pa.Table:
+    cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
+    return pa.table({name: pa.array(c, t) for name, c, t in zip(("block", "part", "n", "packed"), cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)})
+
+
+def by_part(keys: np.ndarray, parts: int) -> np.ndarray:
+    """64-bit keys as partition and low bits: in sorted order each partition's keys lie together."""
+    part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    return (part << LOW_BITS) | (keys & ((np.uint64(1) << LOW_BITS) - np.uint64(1)))
+
+
+def count_rows(block: int, keys: np.ndarray, parts: int, base: int = 0) -> list[tuple]:
+    """Rows of SENT with the block's counts of its keys (as made by by_part), a row per partition."""
+    every, count = np.unique(keys, return_counts=True)
+    edges = np.searchsorted((every >> LOW_BITS).astype(np.int64), np.arange(parts + 1))
+    rows = []
+    for p in np.flatnonzero(np.diff(edges)):
+        mine = slice(edges[p], edges[p + 1])
+        rows.append((block, base + int(p), int(edges[p + 1] - edges[p]), pack(np.diff(every[mine], prepend=np.uint64(p) << LOW_BITS), count[mine].astype("<u4"))))
+    return rows
+
+
+def sum_rows(table: pa.Table) -> pa.Table:
+    """The count table of one partition, joined to what the blocks sent: the sums, in the order of each block's keys."""
+    blocks, part, sizes, packs = (table.column(c).to_pylist() for c in ("block", "part", "n", "packed"))
+    keys, counts = [], []
+    for n, packed in zip(sizes, packs, strict=True):
+        steps, count = unpack(packed, ("<u8", n), ("<u4", n))
+        keys.append(np.cumsum(steps, dtype=np.uint64))
+        counts.append(count)
+    every, place = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(place, weights=np.concatenate(counts), minlength=len(every)).astype("<u8")[place]
+    edges = np.append(0, np.cumsum(sizes))
+    return block_table([(blocks[i], part[i], sizes[i], pack(total[edges[i] : edges[i + 1]])) for i in range(len(blocks))])
+
+
+def sums_in_order(table: pa.Table, first: int, last: int) -> np.ndarray:
+    """A block's answers from partitions first to last - 1, in the order of its sorted keys."""
+    rows = sorted(r for r in zip(*(table.column(c).to_pylist() for c in ("part", "n", "packed")), strict=True) if first <= r[0] < last)
+    return np.concatenate([unpack(p, ("<u8", n))[0] for _, n, p in rows]).astype(np.int64) if rows else np.zeros(0, np.int64)

@@ -25,22 +25,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import pack, unpack
+from .blocks import SENT, block_table, by_part, count_rows, sum_rows, sums_in_order
 from .shingles import SLICE_BYTES, sequence_hashes, slices, word_hashes
 
 ORDER = 3
 BACKOFF = 0.4
 BLOCK_CHARS = 10_000_000
 PART_KEYS = 1_000_000
-LOW_BITS = np.uint64(40)
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 class Block:
     """n-grams of a block's texts: words of all texts, and for each order the places where one starts."""
 
-    def __init__(self, texts: list[bytes], parts: int):
-        self.parts = parts
+    def __init__(self, texts: list[bytes]):
         words, first = [], [np.zeros(1, np.int64)]
         for a, b in slices(texts, SLICE_BYTES):
             own, at = word_hashes(texts[a:b])
@@ -52,74 +50,35 @@ class Block:
         self.doc = np.repeat(np.arange(len(texts), dtype=np.int64), self.lengths)
 
     def grams(self, order: int) -> tuple[np.ndarray, np.ndarray]:
-        """(places of the first word, keys): n-grams within a text. A key's high bits give its partition."""
+        """(places of the first word, keys): n-grams within a text."""
         n = len(self.words) - order + 1
         if n <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         places = np.flatnonzero(self.doc[:n] == self.doc[order - 1 :])
         return places, sequence_hashes(self.words, order)[places]
 
-    def split(self, keys: np.ndarray) -> np.ndarray:
-        """Keys as partition and low bits: a sorted order in which each partition's keys lie together."""
-        part = ((keys >> np.uint64(32)) * np.uint64(self.parts)) >> np.uint64(32)
-        return (part << LOW_BITS) | (keys & ((np.uint64(1) << LOW_BITS) - np.uint64(1)))
 
-
-SENT = "block long, part long, n long, packed binary"
 SCORES = "doc_id long, n_words long, n_trigram long, n_bigram long, log_score double, mean_log_score double"
 
 
 def _counts(docs: DataFrame, parts: int) -> DataFrame:
     def each(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
-        grams = Block([(t or "").encode() for t in table.column("text").to_pylist()], parts)
-        rows = []
-        for order in range(1, ORDER + 1):
-            keys, count = np.unique(grams.split(grams.grams(order)[1]), return_counts=True)
-            part = (keys >> LOW_BITS).astype(np.int64)
-            edges = np.searchsorted(part, np.arange(parts + 1))
-            for p in np.flatnonzero(np.diff(edges)):
-                mine = slice(edges[p], edges[p + 1])
-                rows.append((block, int((order - 1) * parts + p), int(edges[p + 1] - edges[p]), pack(np.diff(keys[mine], prepend=np.uint64(p) << LOW_BITS), count[mine].astype("<u4"))))
-        return _table(rows)
+        grams = Block([(t or "").encode() for t in table.column("text").to_pylist()])
+        return block_table([row for k in range(ORDER) for row in count_rows(block, by_part(grams.grams(k + 1)[1], parts), parts, k * parts)])
 
     return docs.groupBy("block").applyInArrow(each, SENT)
 
 
-def _table(rows: list[tuple]) -> pa.Table:
-    cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-    return pa.table({name: pa.array(c, t) for name, c, t in zip(("block", "part", "n", "packed"), cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)})
-
-
-def _sums(sent: DataFrame) -> DataFrame:
-    """Answers: the sums of all blocks' counts, in the order of the keys that the block sent."""
-
-    def each(table: pa.Table) -> pa.Table:
-        blocks, part, sizes, packs = (table.column(c).to_pylist() for c in ("block", "part", "n", "packed"))
-        keys, counts = [], []
-        for n, packed in zip(sizes, packs, strict=True):
-            steps, count = unpack(packed, ("<u8", n), ("<u4", n))
-            keys.append(np.cumsum(steps, dtype=np.uint64))
-            counts.append(count)
-        every, place = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(place, weights=np.concatenate(counts), minlength=len(every)).astype("<u8")[place]
-        edges = np.append(0, np.cumsum(sizes))
-        return _table([(blocks[i], part[i], sizes[i], pack(total[edges[i] : edges[i + 1]])) for i in range(len(blocks))])
-
-    return sent.groupBy("part").applyInArrow(each, SENT)
-
-
 def _scored(docs: DataFrame, sums: DataFrame, parts: int, n_words: int) -> DataFrame:
     def each(docs_table: pa.Table, sums_table: pa.Table) -> pa.Table:
         texts = [(t or "").encode() for t in docs_table.column("text").to_pylist()]
-        grams = Block(texts, parts)
-        packs = sorted(zip(*(sums_table.column(c).to_pylist() for c in ("part", "n", "packed")), strict=True), key=lambda r: r[0])
+        grams = Block(texts)
         others = []  # for each order, by place: how often the n-gram that starts there stands in other documents
         for order in range(1, ORDER + 1):
             places, keys = grams.grams(order)
-            every, at = np.unique(grams.split(keys), return_inverse=True)
-            mine = [unpack(p, ("<u8", n))[0] for part, n, p in packs if (order - 1) * parts <= part < order * parts]
-            total = np.concatenate(mine).astype(np.int64) if mine else np.zeros(0, np.int64)
+            every, at = np.unique(by_part(keys, parts), return_inverse=True)
+            total = sums_in_order(sums_table, (order - 1) * parts, order * parts)
             _, own, times = np.unique(grams.doc[places] * max(1, len(every)) + at, return_inverse=True, return_counts=True)
             left = np.zeros(len(grams.words), np.int64)
             left[places] = total[at] - times[own]
@@ -156,4 +115,4 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     blocks = max(12, -(-chars // block_chars))
     parts = max(12, -(-n_words // part_keys))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
-    return _scored(rows, _sums(_counts(rows, parts)), parts, n_words)
+    return _scored(rows, _counts(rows, parts).groupBy("part").applyInArrow(sum_rows, SENT), parts, n_words)
