@@ -9,8 +9,9 @@ a pair needs min(l, l') shared prefix shingles before its sets are compared.
 2. Shingles go to hash buckets as packed blocks of one task each (sorted, delta-coded: some bytes a shingle); buckets
    answer with the shingles that others have too, and their frequency. A shingle of one document alone comes first in
    the order and matches nothing: a document with more than n - ceil(t * n) of those has no partner and is done.
-3. Documents left meet the smallest id under a few min-hash keys; verified links contract large groups of near copies,
-   without the pairs inside them.
+   The step is done once more among the documents left.
+3. Documents left meet the head of their group under a few min-hash keys; verified links contract large groups of near
+   copies, without the pairs inside them.
 4. The multi-match prefix join finds every remaining pair between different components, and verifies it.
 """
 
@@ -70,7 +71,9 @@ def _unpack(packed: bytes, n_docs: int, n_keys: int) -> tuple[np.ndarray, np.nda
     return ids, keys, from_planes(raw[8 * n_docs + 4 * n_keys :], "<u4", n_keys)
 
 
-def _blocks(docs: DataFrame, buckets: int, width: int) -> DataFrame:
+def _blocks(rows: DataFrame, buckets: int, sets_of) -> DataFrame:
+    """Packed blocks of (id, set); sets_of turns a batch's second column into sorted arrays of hashes."""
+
     def flush(ids: list[int], sets: list[np.ndarray]) -> Iterator[tuple]:
         order = np.argsort(np.asarray(ids, dtype=np.int64), kind="stable")
         sorted_ids = np.asarray(ids, dtype=np.int64)[order]
@@ -93,7 +96,7 @@ def _blocks(docs: DataFrame, buckets: int, width: int) -> DataFrame:
         ids, sets, size = [], [], 0
         for batch in batches:
             own = batch.column(0).to_pylist()
-            for doc_id, s in zip(own, shingle_sets([(t or "").encode() for t in batch.column(1).to_pylist()], width), strict=True):
+            for doc_id, s in zip(own, sets_of(batch.column(1).to_pylist()), strict=True):
                 if len(s):
                     ids.append(doc_id)
                     sets.append(s)
@@ -104,7 +107,16 @@ def _blocks(docs: DataFrame, buckets: int, width: int) -> DataFrame:
         if size:
             yield emit(list(flush(ids, sets)))
 
-    return docs.mapInArrow(each, BLOCK)
+    return rows.mapInArrow(each, BLOCK)
+
+
+def _of_texts(width: int):
+    return lambda texts: shingle_sets([(t or "").encode() for t in texts], width)
+
+
+def _of_tokens(packed: list[bytes]) -> Iterator[np.ndarray]:
+    for raw in packed:
+        yield np.sort(mix64(np.frombuffer(raw, "<u8")))
 
 
 REPLY = "dest long, n_docs long, n_keys long, packed binary, doc_id long, n long"
@@ -175,18 +187,39 @@ def _assemble(replies: DataFrame, need: int) -> DataFrame:
     return replies.groupBy("dest").applyInArrow(each, LEFT)
 
 
-def _keys(left: DataFrame, keys: int) -> DataFrame:
+def _stars(left: DataFrame, labels: DataFrame | None, keys: range, need: int, scratch: Scratch, name: str) -> DataFrame:
+    """Candidates (a, b): each document with the head of its group under each min-hash key, if their components differ.
+
+    The head is the document with the least share of shingles of its own: among near copies, the nearest to the original.
+    """
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, out = [], []
-            for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            ids, out, rank, many, shared = [], [], [], [], []
+            for doc_id, n, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 tokens = np.frombuffer(raw, "<u8")
-                for k in range(keys):
+                for k in keys:
                     ids.append(doc_id)
                     out.append(int(mix64(tokens ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1)).min().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.int64())], ["doc_id", "key"])
+                    rank.append((n - len(tokens)) * 1000 // n)
+                    many.append(n)
+                    shared.append(len(tokens))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (ids, out, rank, many, shared)], ["doc_id", "key", "own", "n", "shared"])
+
+    keyed = scratch.keep(left.select("doc_id", "n", "tokens").mapInArrow(each, "doc_id long, key long, own long, n long, shared long"), name)
+    if labels is not None:
+        keyed = keyed.join(labels.select(F.col("node").alias("doc_id"), "comp"), "doc_id", "left")
+    else:
+        keyed = keyed.withColumn("comp", F.lit(None).cast("long"))
+    keyed = keyed.withColumn("comp", F.coalesce("comp", "doc_id"))
+    heads = keyed.groupBy("key").agg(F.min(F.struct("own", "doc_id", "n", "shared", "comp")).alias("h"), F.count(F.lit(1)).alias("many")).where("many > 1").select("key", "h")
+    met = keyed.join(heads, "key").where("h.comp <> comp").select(F.col("h.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("h.n").alias("n1"), "n", F.least("h.shared", "shared").alias("shared"))
+    return met.where(_possible(F.col("n1"), F.col("n"), F.col("shared"), need)).select("a", "b").distinct()
 
-    return left.select("doc_id", "tokens").mapInArrow(each, "doc_id long, key long")
+
+def _possible(n1, n2, shared, need: int):
+    """Sets of n1 and n2 shingles can only be near if as many as their overlap needs aren't a document's own."""
+    return (shared * (100 + need) >= (n1 + n2) * need) & (n1 * 100 >= n2 * need) & (n2 * 100 >= n1 * need)
 
 
 def _verified(pairs: DataFrame, left: DataFrame, need: int) -> DataFrame:
@@ -205,8 +238,7 @@ def _verified(pairs: DataFrame, left: DataFrame, need: int) -> DataFrame:
 
     one = left.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     two = left.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    near = (F.col("na") * 100 >= F.col("nb") * need) & (F.col("nb") * 100 >= F.col("na") * need)
-    both = pairs.join(one, "a").join(two, "b").where(near).select("a", "b", "na", "nb", "ta", "tb")
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ta", "tb")
     return both.mapInArrow(each, "a long, b long")
 
 
@@ -215,7 +247,7 @@ def _prefixes(left: DataFrame, need: int, most: int) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = [[], [], [], [], []]
+            cols = [[], [], [], [], [], []]
             for doc_id, n, raw, raw_df in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 tokens, df = np.frombuffer(raw, "<i8"), np.frombuffer(raw_df, "<u4").astype(np.float64) - 1
                 alone = n - len(tokens)
@@ -232,11 +264,12 @@ def _prefixes(left: DataFrame, need: int, most: int) -> DataFrame:
                 cols[1].append(np.full(size, doc_id, np.int64))
                 cols[2].append(np.full(size, n, np.int64))
                 cols[3].append(np.full(size, best, np.int32))
+                cols[5].append(np.full(size, len(tokens), np.int64))
                 cols[4].append(np.maximum(1, np.arange(size) - base + 1).astype(np.int32))
             if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["token", "doc_id", "n", "matches", "level"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["token", "doc_id", "n", "matches", "level", "shared"])
 
-    return left.select("doc_id", "n", "tokens", "dfs").mapInArrow(each, "token long, doc_id long, n long, matches int, level int")
+    return left.select("doc_id", "n", "tokens", "dfs").mapInArrow(each, "token long, doc_id long, n long, matches int, level int, shared long")
 
 
 def _candidates(prefixes: DataFrame, labels: DataFrame, need: int) -> DataFrame:
@@ -244,10 +277,10 @@ def _candidates(prefixes: DataFrame, labels: DataFrame, need: int) -> DataFrame:
     rows = prefixes.join(labels.select(F.col("node").alias("doc_id"), "comp"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
     mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
     rows = rows.join(mixed, "token", "left_semi")
-    one = rows.select("token", *(F.col(c).alias(f"{c}1") for c in ("doc_id", "n", "matches", "level", "comp")))
-    two = rows.select("token", *(F.col(c).alias(f"{c}2") for c in ("doc_id", "n", "matches", "level", "comp")))
+    one = rows.select("token", *(F.col(c).alias(f"{c}1") for c in ("doc_id", "n", "matches", "level", "comp", "shared")))
+    two = rows.select("token", *(F.col(c).alias(f"{c}2") for c in ("doc_id", "n", "matches", "level", "comp", "shared")))
     few = F.least("matches1", "matches2")
-    on = (F.col("doc_id1") < F.col("doc_id2")) & (F.col("comp1") != F.col("comp2")) & (F.col("n1") * 100 >= F.col("n2") * need) & (F.col("n2") * 100 >= F.col("n1") * need) & (F.greatest("level1", "level2") <= few)
+    on = (F.col("doc_id1") < F.col("doc_id2")) & (F.col("comp1") != F.col("comp2")) & _possible(F.col("n1"), F.col("n2"), F.least("shared1", "shared2"), need) & (F.greatest("level1", "level2") <= few)
     hits = one.join(two, "token").where(on)
     met = hits.groupBy(F.col("doc_id1").alias("a"), F.col("doc_id2").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.first(few).alias("few"))
     return met.where("shared >= few").select("a", "b")
@@ -273,19 +306,22 @@ def near_components(docs: DataFrame, need: int = NEED, width: int = WIDTH, id_co
     scratch.drop("seen")
     total = members.agg(F.sum("n")).first()[0] or 0
     buckets = max(16, -(-total // BUCKET_SHINGLES))
-    replies = _replies(_blocks(rows, buckets, width), buckets)
-    reps = members.where("doc_id = rep AND n > 0").select(F.pmod("doc_id", F.lit(buckets)).alias("dest"), F.lit(None).cast("long").alias("n_docs"), F.lit(None).cast("long").alias("n_keys"), F.lit(None).cast("binary").alias("packed"), "doc_id", "n")
-    left = scratch.keep(_assemble(replies.unionByName(reps), need), "left")
-    keyed = scratch.keep(_keys(left, KEYS), "keys")
-    heads = keyed.groupBy("key").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("many")).where("many > 1").drop("many")
-    stars = keyed.join(heads, "key").where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
-    first = scratch.keep(_verified(stars, left, need), "first")
-    labels = components(first, scratch, "contract")
+    reps = members.where("doc_id = rep AND n > 0").select("doc_id", "n")
+    some = scratch.keep(_assemble(_replies(_blocks(rows, buckets, _of_texts(width)), buckets).unionByName(_address(reps, buckets)), need), "some")
+    # Once more among the documents left, without copies: a shingle that only copies shared is a document's own now.
+    left = _replies(_blocks(some.select("doc_id", "tokens"), buckets, _of_tokens), buckets).unionByName(_address(some.select("doc_id", "n"), buckets))
+    left = scratch.keep(_assemble(left, need), "left")
+    scratch.drop("some")
+    first = scratch.keep(_verified(_stars(left, None, range(KEYS), need, scratch, "keys1"), left, need), "first")
+    labels = components(first, scratch, "contract1")
+    more = scratch.keep(_verified(_stars(left, labels, range(KEYS, 3 * KEYS), need, scratch, "keys2"), left, need), "more")
+    first = first.unionByName(more)
+    labels = components(first, scratch, "contract2")
     prefixes = scratch.keep(_prefixes(left, need, MOST_MATCHES), "prefixes")
     pairs = scratch.keep(_candidates(prefixes, labels, need), "pairs")
     second = scratch.keep(_verified(pairs, left, need), "second")
     whole = components(first.unionByName(second), scratch, "whole")
-    scratch.drop("keys", "prefixes", "pairs", "left")
+    scratch.drop("keys1", "keys2", "prefixes", "pairs", "left")
     out = members.join(whole.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"))
     if not irregular:
         return out
@@ -294,6 +330,12 @@ def near_components(docs: DataFrame, need: int = NEED, width: int = WIDTH, id_co
     return named.join(least, "component_id").select(F.col("id").alias("doc_id"), "n_shingles", F.col("least").alias("component_id"))
 
 
+def _address(docs: DataFrame, dests: int) -> DataFrame:
+    """(doc_id, n) as rows of REPLY."""
+    none = F.lit(None)
+    return docs.select(F.pmod("doc_id", F.lit(dests)).alias("dest"), none.cast("long").alias("n_docs"), none.cast("long").alias("n_keys"), none.cast("binary").alias("packed"), "doc_id", "n")
+
+
 def drop_near(docs: DataFrame, need: int = NEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with one of each component: the row with its smallest id (a null id goes with none but its like)."""
     cols = docs.columns
