@@ -27,6 +27,12 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_next(documents(spark, sf_dir))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+
+    return remove_repeats(documents(spark, sf_dir))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -65,7 +71,7 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict:
-    return {"op1_exact_dedup": op1_exact_dedup, "op3_secrets": op3_secrets, "op4_packing": op4_packing, "op5_licenses": op5_licenses, "op6_fingerprints": op6_fingerprints, "op8_mixing": op8_mixing, "op9_lm_scores": op9_lm_scores, "op10_jaccard_join": op10_jaccard_join}
+    return {"op1_exact_dedup": op1_exact_dedup, "op3_secrets": op3_secrets, "op4_packing": op4_packing, "op5_licenses": op5_licenses, "op6_fingerprints": op6_fingerprints, "op7_suffix_dedup": op7_suffix_dedup, "op8_mixing": op8_mixing, "op9_lm_scores": op9_lm_scores, "op10_jaccard_join": op10_jaccard_join}
 
 
 def oracle_sql() -> dict[str, str]:
