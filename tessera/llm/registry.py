@@ -39,6 +39,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).drop("text_hash")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score
+
+    return score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secret_scan import secret_report
 
@@ -71,7 +77,7 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict:
-    return {"op1_exact_dedup": op1_exact_dedup, "op3_secrets": op3_secrets, "op4_packing": op4_packing, "op5_licenses": op5_licenses, "op6_fingerprints": op6_fingerprints, "op7_suffix_dedup": op7_suffix_dedup, "op8_mixing": op8_mixing, "op9_lm_scores": op9_lm_scores, "op10_jaccard_join": op10_jaccard_join}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_quality": op2_quality, "op3_secrets": op3_secrets, "op4_packing": op4_packing, "op5_licenses": op5_licenses, "op6_fingerprints": op6_fingerprints, "op7_suffix_dedup": op7_suffix_dedup, "op8_mixing": op8_mixing, "op9_lm_scores": op9_lm_scores, "op10_jaccard_join": op10_jaccard_join}
 
 
 def oracle_sql() -> dict[str, str]:

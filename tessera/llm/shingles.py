@@ -42,10 +42,11 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word, first word of each text and the total), for texts in UTF-8."""
     ends = np.cumsum([len(t) + 1 for t in texts])
-    data = np.frombuffer(b"\n".join(texts).lower() + b"\n", dtype=np.uint8)
+    joined = b"\n".join(texts) + b"\n"
+    data = np.frombuffer(joined.lower() if lower else joined, dtype=np.uint8)
     up, down = _power(len(data))
     inside = ~_SPACE[data]
     edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0)))
