@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .blocks import from_planes, planes
 from .components import components
-from .scratch import Scratch
+from .scratch import Scratch, has_irregular_ids
 from .shingles import WIDTH, mix64, shingle_sets
 
 NEED = 75  # percent
@@ -295,7 +295,7 @@ def near_components(docs: DataFrame, need: int = NEED, width: int = WIDTH, id_co
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    irregular = not rows.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").isEmpty()
+    irregular = has_irregular_ids(rows, "doc_id")
     if irregular:
         numbered = scratch.keep(rows.withColumn("uid", F.monotonically_increasing_id()), "numbered")
         own = numbered.select("uid", F.col("doc_id").alias("id"))
@@ -337,9 +337,11 @@ def _address(docs: DataFrame, dests: int) -> DataFrame:
 
 
 def drop_near(docs: DataFrame, need: int = NEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with one of each component: the row with its smallest id (a null id goes with none but its like)."""
+    """The documents with one of each component: the row with its smallest id, or any one row where ids repeat or are null."""
     cols = docs.columns
+    if has_irregular_ids(docs, id_col):
+        docs = Scratch(docs.sparkSession, "near").keep(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+        id_col = "__row"
     found = near_components(docs, need, WIDTH, id_col, text_col)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("__keep")), "left_semi")
-    return kept.select(*cols)
+    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("__keep"))
+    return docs.join(keep, F.col(id_col).cast("long") == F.col("__keep"), "left_semi").select(*cols)

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: list[tuple[SparkSession, str]] = []
 
@@ -27,6 +28,12 @@ def _delete(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def has_irregular_ids(docs: DataFrame, id_col: str) -> bool:
+    """Whether an id is null or stands twice."""
+    counts = docs.groupBy(F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    return not counts.where("id IS NULL OR n > 1").isEmpty()
+
+
 class Scratch:
     """Written tables of one operator call. keep() writes and rereads; drop() removes what no later step needs."""
 

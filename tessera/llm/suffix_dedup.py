@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import SENT, block_table, by_part, count_rows, pack, sum_rows, sums_in_order, unpack
-from .scratch import Scratch
+from .scratch import Scratch, has_irregular_ids
 from .shingles import SLICE_BYTES, mix64, slices
 from .suffixes import suffix_array
 
@@ -325,7 +325,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     """
     scratch = Scratch(docs.sparkSession, "suffixes")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    irregular = not rows.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").isEmpty()
+    irregular = has_irregular_ids(rows, "doc_id")
     if irregular:
         ordered = rows.orderBy(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
         rows = scratch.keep(ordered.withColumn("uid", F.monotonically_increasing_id()), "numbered")
