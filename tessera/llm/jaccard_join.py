@@ -31,7 +31,7 @@ from .shingles import WIDTH, mix64, shingle_sets
 
 NEED = 75  # percent
 BUCKET_SHINGLES = 500_000
-BLOCK_SHINGLES = 4_000_000
+BLOCK_SHINGLES = 2_000_000
 MOST_MATCHES = 12
 VERIFY_COST = 60.0
 KEYS = 3
@@ -243,7 +243,7 @@ def _verified(pairs: DataFrame, left: DataFrame, need: int) -> DataFrame:
 
 
 def _prefixes(left: DataFrame, need: int, most: int) -> DataFrame:
-    """(token, doc_id, n, matches, level): each document's adaptive prefix; level is the least l it belongs to."""
+    """(token, doc_id, n, matches, place, shared): each document's adaptive prefix, with places in the global order."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,11 +265,11 @@ def _prefixes(left: DataFrame, need: int, most: int) -> DataFrame:
                 cols[2].append(np.full(size, n, np.int64))
                 cols[3].append(np.full(size, best, np.int32))
                 cols[5].append(np.full(size, len(tokens), np.int64))
-                cols[4].append(np.maximum(1, np.arange(size) - base + 1).astype(np.int32))
+                cols[4].append(alone + np.arange(size, dtype=np.int64))
             if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["token", "doc_id", "n", "matches", "level", "shared"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["token", "doc_id", "n", "matches", "place", "shared"])
 
-    return left.select("doc_id", "n", "tokens", "dfs").mapInArrow(each, "token long, doc_id long, n long, matches int, level int, shared long")
+    return left.select("doc_id", "n", "tokens", "dfs").mapInArrow(each, "token long, doc_id long, n long, matches int, place long, shared long")
 
 
 def _candidates(prefixes: DataFrame, labels: DataFrame, need: int) -> DataFrame:
@@ -277,10 +277,15 @@ def _candidates(prefixes: DataFrame, labels: DataFrame, need: int) -> DataFrame:
     rows = prefixes.join(labels.select(F.col("node").alias("doc_id"), "comp"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
     mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
     rows = rows.join(mixed, "token", "left_semi")
-    one = rows.select("token", *(F.col(c).alias(f"{c}1") for c in ("doc_id", "n", "matches", "level", "comp", "shared")))
-    two = rows.select("token", *(F.col(c).alias(f"{c}2") for c in ("doc_id", "n", "matches", "level", "comp", "shared")))
+    one = rows.select("token", *(F.col(c).alias(f"{c}1") for c in ("doc_id", "n", "matches", "place", "comp", "shared")))
+    two = rows.select("token", *(F.col(c).alias(f"{c}2") for c in ("doc_id", "n", "matches", "place", "comp", "shared")))
     few = F.least("matches1", "matches2")
-    on = (F.col("doc_id1") < F.col("doc_id2")) & (F.col("comp1") != F.col("comp2")) & _possible(F.col("n1"), F.col("n2"), F.least("shared1", "shared2"), need) & (F.greatest("level1", "level2") <= few)
+    # The least l whose prefix a place belongs to, and the most shingles two sets share if they share one at these places.
+    level = [F.greatest(F.lit(1), F.col(f"place{k}") - F.col(f"n{k}") + F.ceil(F.col(f"n{k}") * need / 100) + 1) for k in (1, 2)]
+    before = F.least(*(F.col(f"place{k}") - F.col(f"n{k}") + F.col(f"shared{k}") for k in (1, 2)))
+    after = F.least(*(F.col(f"n{k}") - F.col(f"place{k}") for k in (1, 2)))
+    enough = (before + after) * (100 + need) >= (F.col("n1") + F.col("n2")) * need
+    on = (F.col("doc_id1") < F.col("doc_id2")) & (F.col("comp1") != F.col("comp2")) & _possible(F.col("n1"), F.col("n2"), F.least("shared1", "shared2"), need) & enough & (F.greatest(*level) <= few)
     hits = one.join(two, "token").where(on)
     met = hits.groupBy(F.col("doc_id1").alias("a"), F.col("doc_id2").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.first(few).alias("few"))
     return met.where("shared >= few").select("a", "b")
