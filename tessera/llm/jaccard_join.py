@@ -35,6 +35,8 @@ BLOCK_SHINGLES = 2_000_000
 MOST_MATCHES = 12
 VERIFY_COST = 60.0
 KEYS = 3
+BITMAP_WORDS = 8
+BITMAP = [f"bits{k}_" for k in range(BITMAP_WORDS)]
 
 
 def _needed(n: np.ndarray, need: int) -> np.ndarray:
@@ -190,23 +192,25 @@ def _assemble(replies: DataFrame, need: int) -> DataFrame:
 def _stars(left: DataFrame, labels: DataFrame | None, keys: range, need: int, scratch: Scratch, name: str) -> DataFrame:
     """Candidates (a, b): each document with the head of its group under each min-hash key, if their components differ.
 
-    The head is the document with the least share of shingles of its own: among near copies, the nearest to the original.
+    The head is the document with the least share of shingles that are rare beside its commonest: of near copies, the
+    nearest to the original.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, out, rank, many, shared = [], [], [], [], []
-            for doc_id, n, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                tokens = np.frombuffer(raw, "<u8")
+            for doc_id, n, raw, raw_df in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                tokens, df = np.frombuffer(raw, "<u8"), np.frombuffer(raw_df, "<u4")
+                rare = n - int((df * 4 >= df.max()).sum())
                 for k in keys:
                     ids.append(doc_id)
                     out.append(int(mix64(tokens ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1)).min().view(np.int64)))
-                    rank.append((n - len(tokens)) * 1000 // n)
+                    rank.append(rare * 1000 // n)
                     many.append(n)
                     shared.append(len(tokens))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (ids, out, rank, many, shared)], ["doc_id", "key", "own", "n", "shared"])
 
-    keyed = scratch.keep(left.select("doc_id", "n", "tokens").mapInArrow(each, "doc_id long, key long, own long, n long, shared long"), name)
+    keyed = scratch.keep(left.select("doc_id", "n", "tokens", "dfs").mapInArrow(each, "doc_id long, key long, own long, n long, shared long"), name)
     if labels is not None:
         keyed = keyed.join(labels.select(F.col("node").alias("doc_id"), "comp"), "doc_id", "left")
     else:
@@ -247,7 +251,7 @@ def _prefixes(left: DataFrame, need: int, most: int) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = [[], [], [], [], [], []]
+            cols = [[] for _ in range(6 + BITMAP_WORDS)]
             for doc_id, n, raw, raw_df in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 tokens, df = np.frombuffer(raw, "<i8"), np.frombuffer(raw_df, "<u4").astype(np.float64) - 1
                 alone = n - len(tokens)
@@ -265,11 +269,15 @@ def _prefixes(left: DataFrame, need: int, most: int) -> DataFrame:
                 cols[2].append(np.full(size, n, np.int64))
                 cols[3].append(np.full(size, best, np.int32))
                 cols[5].append(np.full(size, len(tokens), np.int64))
+                bits = np.zeros(64 * BITMAP_WORDS, np.uint8)
+                bits[(mix64(tokens.view(np.uint64)) % np.uint64(len(bits))).astype(np.int64)] = 1
+                for k, word in enumerate(np.packbits(bits, bitorder="little").view("<i8")):
+                    cols[6 + k].append(np.full(size, word, np.int64))
                 cols[4].append(alone + np.arange(size, dtype=np.int64))
             if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["token", "doc_id", "n", "matches", "place", "shared"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["token", "doc_id", "n", "matches", "place", "shared", *BITMAP])
 
-    return left.select("doc_id", "n", "tokens", "dfs").mapInArrow(each, "token long, doc_id long, n long, matches int, place long, shared long")
+    return left.select("doc_id", "n", "tokens", "dfs").mapInArrow(each, "token long, doc_id long, n long, matches int, place long, shared long, " + ", ".join(f"{b} long" for b in BITMAP))
 
 
 def _candidates(prefixes: DataFrame, labels: DataFrame, need: int) -> DataFrame:
@@ -277,14 +285,17 @@ def _candidates(prefixes: DataFrame, labels: DataFrame, need: int) -> DataFrame:
     rows = prefixes.join(labels.select(F.col("node").alias("doc_id"), "comp"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
     mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
     rows = rows.join(mixed, "token", "left_semi")
-    one = rows.select("token", *(F.col(c).alias(f"{c}1") for c in ("doc_id", "n", "matches", "place", "comp", "shared")))
-    two = rows.select("token", *(F.col(c).alias(f"{c}2") for c in ("doc_id", "n", "matches", "place", "comp", "shared")))
+    one = rows.select("token", *(F.col(c).alias(f"{c}1") for c in ("doc_id", "n", "matches", "place", "comp", "shared", *BITMAP)))
+    two = rows.select("token", *(F.col(c).alias(f"{c}2") for c in ("doc_id", "n", "matches", "place", "comp", "shared", *BITMAP)))
     few = F.least("matches1", "matches2")
     # The least l whose prefix a place belongs to, and the most shingles two sets share if they share one at these places.
     level = [F.greatest(F.lit(1), F.col(f"place{k}") - F.col(f"n{k}") + F.ceil(F.col(f"n{k}") * need / 100) + 1) for k in (1, 2)]
     before = F.least(*(F.col(f"place{k}") - F.col(f"n{k}") + F.col(f"shared{k}") for k in (1, 2)))
     after = F.least(*(F.col(f"n{k}") - F.col(f"place{k}") for k in (1, 2)))
     enough = (before + after) * (100 + need) >= (F.col("n1") + F.col("n2")) * need
+    # A bit that one set has and the other lacks is a shingle, at least, that they don't share.
+    lacks = [sum((F.bit_count(F.col(f"{b}{x}").bitwiseAND(F.bitwise_not(F.col(f"{b}{y}")))) for b in BITMAP), F.lit(0)) for x, y in ((1, 2), (2, 1))]
+    enough = enough & (F.least(F.col("shared1") - lacks[0], F.col("shared2") - lacks[1]) * (100 + need) >= (F.col("n1") + F.col("n2")) * need)
     on = (F.col("doc_id1") < F.col("doc_id2")) & (F.col("comp1") != F.col("comp2")) & _possible(F.col("n1"), F.col("n2"), F.least("shared1", "shared2"), need) & enough & (F.greatest(*level) <= few)
     hits = one.join(two, "token").where(on)
     met = hits.groupBy(F.col("doc_id1").alias("a"), F.col("doc_id2").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.first(few).alias("few"))
