@@ -60,17 +60,20 @@ def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of at least the anchors of every string of length within the documents [start, end) of data."""
+    """(places, hashes) of the anchors of every string of length within the documents [start, end) of data.
+
+    Documents have length bytes at least. Where the least hash stands twice in a string, both are its anchors.
+    """
     width = length - gram + 1
     h = _gram_hashes(data, gram)
-    inside = np.zeros(len(data) + 1, np.int32)
-    np.add.at(inside, starts, 1)
-    np.add.at(inside, np.maximum(ends - gram + 1, starts), -1)
-    inside = np.cumsum(inside[: len(h)]) > 0
-    value = np.where(inside, (h >> np.uint64(32)).astype(np.uint32), np.uint32(0xFFFFFFFF))
+    value = (h >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    whole = np.zeros(len(data) + 1, np.int32)  # where a string of length starts that lies in one document
+    np.add.at(whole, starts, 1)
+    np.add.at(whole, ends - length + 1, -1)
+    least = _slide(np.minimum, value, width)
+    least[np.cumsum(whole[: len(least)]) == 0] = 0
     pad = np.zeros(width - 1, np.uint32)
-    least = np.concatenate([pad, _slide(np.minimum, value, width), pad])
-    at = np.flatnonzero((_slide(np.maximum, least, width) == value) & inside)
+    at = np.flatnonzero(_slide(np.maximum, np.concatenate([pad, least, pad]), width) == value)
     return at, h[at]
 
 
