@@ -94,7 +94,7 @@ def _scored(docs: DataFrame, sums: DataFrame, parts: int, n_words: int) -> DataF
             bigram = bi / before(one, 1) * BACKOFF ** (here >= 2)
             trigram = tri / before(two, 2)
         log = np.log(np.where(tri > 0, trigram, np.where(bi > 0, bigram, unigram)))
-        add = lambda x: np.bincount(grams.doc, weights=x, minlength=len(texts))
+        add = lambda x: np.bincount(grams.doc, weights=x, minlength=len(texts)).astype(np.float64)
         score = add(log)
         cols = [grams.lengths, add(tri > 0).astype(np.int64), add((tri == 0) & (bi > 0)).astype(np.int64), score]
         mean = pa.array(score / np.maximum(grams.lengths, 1), mask=grams.lengths == 0)

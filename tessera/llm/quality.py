@@ -49,23 +49,27 @@ TEXT_DIMS = WORD_DIMS + _CLASSES**3 + 2
 PAGE_DIMS = 2 * HASHED + 8
 
 
-def _places(texts: list[bytes]) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
-    """For words, repeats of the word before, and class trigrams: (feature of each, first of each text and the total)."""
+def _places(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For words, repeats of the word before, and class trigrams: (feature at each place, first and last + 1 of each text)."""
     words, first = word_hashes(texts, lower=False)
-    data = _CLASS[np.frombuffer(b"\n".join(texts) + b"\n\n\n", np.uint8)]
-    tri = (data[:-2] * _CLASSES + data[1:-1]) * _CLASSES + data[2:]
     again = TEXT_DIMS - 2 + (words == np.roll(words, 1)).astype(np.int64)
     again[first[:-1][np.diff(first) > 0]] = TEXT_DIMS - 2
-    return ((words >> np.uint64(54)).astype(np.int64), first), (again, first), (WORD_DIMS + tri, np.append(0, np.cumsum([len(t) + 1 for t in texts])))
+    yield (words >> np.uint64(54)).astype(np.int64), first[:-1], first[1:]
+    yield again, first[:-1], first[1:]
+    data = _CLASS[np.frombuffer(b"".join(t + b"\n\n\n" for t in texts), np.uint8)]
+    tri = (data[:-2] * _CLASSES + data[1:-1]) * _CLASSES + data[2:]
+    size = np.array([len(t) for t in texts])
+    start = np.cumsum(size + 3) - size - 3
+    yield WORD_DIMS + tri, start, start + size + 1
 
 
 def text_features(texts: list[bytes]) -> np.ndarray:
-    """Relative frequencies of words and class trigrams: (texts, TEXT_DIMS)."""
+    """Relative frequencies of words, repeats and class trigrams: (texts, TEXT_DIMS)."""
     out = np.zeros((len(texts), TEXT_DIMS), np.float32)
     for i, t in enumerate(texts):
-        for feature, first in _places([t]):
-            if first[1]:
-                out[i] += np.bincount(feature[: first[1]], minlength=TEXT_DIMS) / np.float32(first[1])
+        for feature, start, end in _places([t]):
+            if end[0] > start[0]:
+                out[i] += np.bincount(feature[start[0] : end[0]], minlength=TEXT_DIMS) / np.float32(end[0] - start[0])
     return out
 
 
@@ -73,10 +77,9 @@ def text_scores(texts: list[bytes], weights: np.ndarray, bias: float) -> np.ndar
     """text_features(texts) @ weights + bias, by lookup."""
     out = np.full(len(texts), bias)
     for a, b in slices(texts, SLICE_BYTES):
-        for feature, first in _places(texts[a:b]):
+        for feature, start, end in _places(texts[a:b]):
             total = np.append(0.0, np.cumsum(weights[feature]))
-            n = np.diff(first)
-            out[a:b] += (total[first[1:]] - total[first[:-1]]) / np.maximum(n, 1)
+            out[a:b] += (total[end] - total[start]) / np.maximum(end - start, 1)
     return out
 
 
