@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, fresh_names
 
 FIRST_BYTES = 32
 GROWTH = 16
@@ -78,10 +78,12 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Rows are removed by (id, sha256) of dropped rows; of repeated rows with one id and text one stays.
     """
     cols = docs.columns
+    key, id_, sha, some = fresh_names(docs, "key", "id", "sha", "some")
     d = exact_dedup(docs, id_col, text_col)
-    lost = d.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("any_kept"), F.max("group_size").alias("gs"), F.count(F.lit(1)).alias("times"))
-    lost = lost.where("NOT any_kept OR times > 1").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), "any_kept")
-    keyed = docs.withColumn("__k", F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256))
-    gone = keyed.join(lost, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__k") == F.col("__sha")), "left_anti")
-    again = keyed.join(lost.where("any_kept"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__k") == F.col("__sha")), "left_semi").dropDuplicates([id_col, "__k"])
+    lost = d.groupBy(F.col("doc_id").alias(id_), F.col("text_sha256").alias(sha)).agg(F.max("kept").alias(some), F.count(F.lit(1)).alias("times"))
+    lost = lost.where(~F.col(some) | (F.col("times") > 1)).drop("times")
+    keyed = docs.withColumn(key, F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256))
+    same = F.col(id_col).eqNullSafe(F.col(id_)) & (F.col(key) == F.col(sha))
+    gone = keyed.join(lost, same, "left_anti")
+    again = keyed.join(lost.where(some), same, "left_semi").dropDuplicates([id_col, key])
     return gone.unionByName(again).select(*cols)

@@ -6,9 +6,9 @@ Every document picks its own l: it lengthens its prefix as long as the estimated
 a pair needs min(l, l') shared prefix shingles before its sets are compared.
 
 1. Documents with equal sets become one class; its smallest id stands for it.
-2. Shingles go to hash buckets as packed blocks of one task each (sorted, delta-coded: some bytes a shingle); buckets
-   answer with the shingles that others have too, and their frequency. A shingle of one document alone comes first in
-   the order and matches nothing: a document with more than n - ceil(t * n) of those has no partner and is done.
+2. Blocks of documents send each of their shingles once, with its count, to the shingle's hash partition (some bytes a
+   shingle, however many documents have it), and get the corpus frequencies back. A shingle of one document alone comes
+   first in the order and matches nothing: a document with more than n - ceil(t * n) of those has no partner and is done.
    The step is done once more among the documents left.
 3. Documents left meet the head of their group under a few min-hash keys; verified links contract large groups of near
    copies, without the pairs inside them.
@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import from_planes, planes
+from .blocks import SENT, block_table, by_part, count_rows, sum_rows, sums_in_order
 from .components import components
-from .scratch import Scratch, has_irregular_ids
+from .scratch import Scratch, fresh_names, has_irregular_ids
 from .shingles import WIDTH, mix64, shingle_sets
 
 NEED = 75  # percent
-BUCKET_SHINGLES = 500_000
-BLOCK_SHINGLES = 2_000_000
+BLOCK_SHINGLES = 1_500_000
+PART_SHINGLES = 1_000_000
 MOST_MATCHES = 12
 VERIFY_COST = 60.0
 KEYS = 3
@@ -39,10 +39,6 @@ BITMAP_WORDS = 8
 BITMAP = [f"bits{k}_" for k in range(BITMAP_WORDS)]
 
 
-def _needed(n: np.ndarray, need: int) -> np.ndarray:
-    return -(-n * need // 100)
-
-
 def _summary(docs: DataFrame, width: int) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -57,136 +53,59 @@ def _summary(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(each, "doc_id long, n long, k1 long, k2 long")
 
 
-BLOCK = "bucket long, n_docs long, n_keys long, packed binary"
-
-
-def _pack(ids: np.ndarray, keys: np.ndarray, owner: np.ndarray) -> bytes:
-    """ids ascending; keys sorted, owner the place of each key's document in ids."""
-    raw = planes(np.diff(ids, prepend=np.int64(0))) + planes(np.diff(keys, prepend=keys[:1] * 0)) + planes(owner.astype(np.uint32))
-    return pa.compress(raw, codec="zstd", asbytes=True)
-
-
-def _unpack(packed: bytes, n_docs: int, n_keys: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    raw = memoryview(pa.decompress(packed, decompressed_size=8 * n_docs + 8 * n_keys, codec="zstd", asbytes=True))
-    ids = np.cumsum(from_planes(raw[: 8 * n_docs], "<i8", n_docs))
-    keys = np.cumsum(from_planes(raw[8 * n_docs : 8 * n_docs + 4 * n_keys], "<u4", n_keys), dtype=np.uint32)
-    return ids, keys, from_planes(raw[8 * n_docs + 4 * n_keys :], "<u4", n_keys)
-
-
-def _blocks(rows: DataFrame, buckets: int, sets_of) -> DataFrame:
-    """Packed blocks of (id, set); sets_of turns a batch's second column into sorted arrays of hashes."""
-
-    def flush(ids: list[int], sets: list[np.ndarray]) -> Iterator[tuple]:
-        order = np.argsort(np.asarray(ids, dtype=np.int64), kind="stable")
-        sorted_ids = np.asarray(ids, dtype=np.int64)[order]
-        keys = np.concatenate([sets[i] for i in order])
-        owner = np.repeat(np.arange(len(ids), dtype=np.uint32), [len(sets[i]) for i in order])
-        bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-        low = keys.astype(np.uint32)
-        by = np.argsort((bucket << np.uint64(32)) | low, kind="stable")
-        bucket, low, owner = bucket[by], low[by], owner[by]
-        edges = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-        for b in np.flatnonzero(np.diff(edges)):
-            mine = slice(edges[b], edges[b + 1])
-            there, place = np.unique(owner[mine], return_inverse=True)
-            yield int(b), len(there), int(edges[b + 1] - edges[b]), _pack(sorted_ids[there], low[mine], place)
-
-    def emit(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["bucket", "n_docs", "n_keys", "packed"])
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sets, size = [], [], 0
-        for batch in batches:
-            own = batch.column(0).to_pylist()
-            for doc_id, s in zip(own, sets_of(batch.column(1).to_pylist()), strict=True):
-                if len(s):
-                    ids.append(doc_id)
-                    sets.append(s)
-                    size += len(s)
-                if size >= BLOCK_SHINGLES:
-                    yield emit(list(flush(ids, sets)))
-                    ids, sets, size = [], [], 0
-        if size:
-            yield emit(list(flush(ids, sets)))
-
-    return rows.mapInArrow(each, BLOCK)
-
-
 def _of_texts(width: int):
     return lambda texts: shingle_sets([(t or "").encode() for t in texts], width)
 
 
 def _of_tokens(packed: list[bytes]) -> Iterator[np.ndarray]:
     for raw in packed:
-        yield np.sort(mix64(np.frombuffer(raw, "<u8")))
-
-
-REPLY = "dest long, n_docs long, n_keys long, packed binary, doc_id long, n long"
-
-
-def _replies(blocks: DataFrame, dests: int) -> DataFrame:
-    """Per destination: (document, shingle, frequency) of the shingles that at least two documents have."""
-
-    def each(table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket")[0].as_py()
-        keys, owners = [], []
-        for n_docs, n_keys, packed in zip(*(table.column(c).to_pylist() for c in ("n_docs", "n_keys", "packed")), strict=True):
-            ids, low, place = _unpack(packed, n_docs, n_keys)
-            keys.append(low)
-            owners.append(ids[place])
-        low, owner = np.concatenate(keys), np.concatenate(owners)
-        order = np.argsort(low, kind="stable")
-        low, owner = low[order], owner[order]
-        first = np.flatnonzero(np.diff(low, prepend=low[:1] ^ np.uint32(1)) != 0)
-        df = np.diff(np.append(first, len(low)))
-        df = np.repeat(df, df)
-        shared = df > 1
-        low, owner, df = low[shared], owner[shared], df[shared]
-        dest = np.mod(owner, dests)
-        order = np.lexsort((owner, dest))
-        low, owner, df, dest = low[order], owner[order], df[order], dest[order]
-        edges = np.append(np.flatnonzero(np.diff(dest, prepend=-1)), len(dest))
-        rows = []
-        for a, b in zip(edges, edges[1:], strict=False):
-            raw = planes(np.diff(owner[a:b], prepend=np.int64(0))) + planes(low[a:b]) + planes(df[a:b].astype("<u4"))
-            rows.append((int(dest[a]), int(bucket), int(b - a), pa.compress(raw, codec="zstd", asbytes=True)))
-        cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-        return pa.table({"dest": pa.array(cols[0], pa.int64()), "n_docs": pa.array(cols[1], pa.int64()), "n_keys": pa.array(cols[2], pa.int64()), "packed": pa.array(cols[3], pa.binary()), "doc_id": pa.nulls(len(rows), pa.int64()), "n": pa.nulls(len(rows), pa.int64())})
-
-    return blocks.groupBy("bucket").applyInArrow(each, REPLY)
+        yield np.sort(np.frombuffer(raw, "<u8"))
 
 
 LEFT = "doc_id long, n long, tokens binary, dfs binary"
 
 
-def _assemble(replies: DataFrame, need: int) -> DataFrame:
-    """Documents that may have a partner, with their shared shingles in the global order."""
-
-    def each(table: pa.Table) -> pa.Table:
-        known = table.filter(pa.compute.is_valid(table.column("doc_id")))
-        n_of = dict(zip(known.column("doc_id").to_pylist(), known.column("n").to_pylist(), strict=True))
-        packs = table.filter(pa.compute.is_valid(table.column("packed")))
-        owners, tokens, dfs = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
-        for bucket, n, packed in zip(*(packs.column(c).to_pylist() for c in ("n_docs", "n_keys", "packed")), strict=True):
-            raw = memoryview(pa.decompress(packed, decompressed_size=16 * n, codec="zstd", asbytes=True))
-            owners.append(np.cumsum(from_planes(raw[: 8 * n], "<i8", n)))
-            tokens.append(from_planes(raw[8 * n : 12 * n], "<u4", n).astype(np.uint64) | np.uint64(bucket << 32))
-            dfs.append(from_planes(raw[12 * n :], "<u4", n))
-        owner, token, df = np.concatenate(owners), np.concatenate(tokens), np.concatenate(dfs)
-        order = np.argsort(owner, kind="stable")
-        owner, token, df = owner[order], token[order], df[order]
-        edges = np.append(np.flatnonzero(np.diff(owner, prepend=owner[:1] - 1)), len(owner))
-        rows = []
-        for a, b in zip(edges, edges[1:], strict=False):
-            n = n_of.get(int(owner[a]))
-            if n is None or b - a < -(-n * need // 100):
+def _shared_shingles(rows: DataFrame, sets_of, known: DataFrame, total: int, need: int) -> DataFrame:
+    """LEFT: the known documents (doc_id, n) that may have a partner, with the shingles others have too, in the global order.
+
+    rows are (doc_id, x); sets_of turns a batch of x into sorted arrays of hashes. Blocks send their shingles' counts to the
+    shingles' hash partitions, whose answers are joined to the blocks' documents.
+    """
+    blocks, parts = max(12, -(-total // BLOCK_SHINGLES)), max(12, -(-total // PART_SHINGLES))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    held = rows.toDF("doc_id", "x").withColumn("block", block("doc_id"))
+
+    def counts(table: pa.Table) -> pa.Table:
+        keys = [np.zeros(0, np.uint64), *sets_of(table.column("x").to_pylist())]
+        return block_table(count_rows(table.column("block")[0].as_py(), by_part(np.concatenate(keys), parts), parts))
+
+    def select(table: pa.Table, answers: pa.Table) -> pa.Table:
+        ids = answers.filter(pa.compute.is_valid(answers.column("doc_id")))
+        n_of = dict(zip(ids.column("doc_id").to_pylist(), ids.column("shingles").to_pylist(), strict=True))
+        own = table.column("doc_id").to_pylist()
+        sets = list(sets_of(table.column("x").to_pylist()))
+        keys = np.concatenate([np.zeros(0, np.uint64), *sets])
+        _, place = np.unique(by_part(keys, parts), return_inverse=True)
+        df = sums_in_order(answers.filter(pa.compute.is_valid(answers.column("packed"))), 0, parts)[place] if len(keys) else place
+        out, at = [], 0
+        for doc_id, s in zip(own, sets, strict=True):
+            mine = df[at : at + len(s)]
+            at += len(s)
+            shared = mine > 1
+            n = n_of.get(doc_id)
+            if n is None or shared.sum() < max(1, -(-n * need // 100)):
                 continue
-            by = np.lexsort((mix64(token[a:b]), df[a:b]))
-            rows.append((int(owner[a]), n, token[a:b][by].tobytes(), df[a:b][by].tobytes()))
-        cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
+            s, mine = s[shared], mine[shared]
+            order = np.lexsort((mix64(s), mine))
+            out.append((doc_id, n, s[order].tobytes(), mine[order].astype("<u4").tobytes()))
+        cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
         return pa.table({"doc_id": pa.array(cols[0], pa.int64()), "n": pa.array(cols[1], pa.int64()), "tokens": pa.array(cols[2], pa.binary()), "dfs": pa.array(cols[3], pa.binary())})
 
-    return replies.groupBy("dest").applyInArrow(each, LEFT)
+    sums = held.groupBy("block").applyInArrow(counts, SENT).groupBy("part").applyInArrow(sum_rows, SENT)
+    none = F.lit(None)
+    asked = known.select(block("doc_id").alias("block"), F.lit(-1).cast("long").alias("part"), none.cast("long").alias("n"), none.cast("binary").alias("packed"), "doc_id", F.col("n").alias("shingles"))
+    answers = sums.withColumns({"doc_id": none.cast("long"), "shingles": none.cast("long")}).union(asked)
+    return held.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(select, LEFT)
 
 
 def _stars(left: DataFrame, labels: DataFrame | None, keys: range, need: int, scratch: Scratch, name: str) -> DataFrame:
@@ -321,12 +240,11 @@ def near_components(docs: DataFrame, need: int = NEED, width: int = WIDTH, id_co
     members = scratch.keep(seen.join(classes, ["k1", "k2", "n"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "members")
     scratch.drop("seen")
     total = members.agg(F.sum("n")).first()[0] or 0
-    buckets = max(16, -(-total // BUCKET_SHINGLES))
     reps = members.where("doc_id = rep AND n > 0").select("doc_id", "n")
-    some = scratch.keep(_assemble(_replies(_blocks(rows, buckets, _of_texts(width)), buckets).unionByName(_address(reps, buckets)), need), "some")
+    some = scratch.keep(_shared_shingles(rows, _of_texts(width), reps, total, need), "some")
     # Once more among the documents left, without copies: a shingle that only copies shared is a document's own now.
-    left = _replies(_blocks(some.select("doc_id", "tokens"), buckets, _of_tokens), buckets).unionByName(_address(some.select("doc_id", "n"), buckets))
-    left = scratch.keep(_assemble(left, need), "left")
+    total = some.agg(F.sum("n")).first()[0] or 0
+    left = scratch.keep(_shared_shingles(some.select("doc_id", "tokens"), _of_tokens, some.select("doc_id", "n"), total, need), "left")
     scratch.drop("some")
     first = scratch.keep(_verified(_stars(left, None, range(KEYS), need, scratch, "keys1"), left, need), "first")
     labels = components(first, scratch, "contract1")
@@ -346,18 +264,13 @@ def near_components(docs: DataFrame, need: int = NEED, width: int = WIDTH, id_co
     return named.join(least, "component_id").select(F.col("id").alias("doc_id"), "n_shingles", F.col("least").alias("component_id"))
 
 
-def _address(docs: DataFrame, dests: int) -> DataFrame:
-    """(doc_id, n) as rows of REPLY."""
-    none = F.lit(None)
-    return docs.select(F.pmod("doc_id", F.lit(dests)).alias("dest"), none.cast("long").alias("n_docs"), none.cast("long").alias("n_keys"), none.cast("binary").alias("packed"), "doc_id", "n")
-
-
 def drop_near(docs: DataFrame, need: int = NEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with one of each component: the row with its smallest id, or any one row where ids repeat or are null."""
     cols = docs.columns
+    row, kept = fresh_names(docs, "row", "kept")
     if has_irregular_ids(docs, id_col):
-        docs = Scratch(docs.sparkSession, "near").keep(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-        id_col = "__row"
+        docs = Scratch(docs.sparkSession, "near").keep(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+        id_col = row
     found = near_components(docs, need, WIDTH, id_col, text_col)
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("__keep"))
-    return docs.join(keep, F.col(id_col).cast("long") == F.col("__keep"), "left_semi").select(*cols)
+    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias(kept))
+    return docs.join(keep, F.col(id_col).cast("long") == F.col(kept), "left_semi").select(*cols)

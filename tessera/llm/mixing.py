@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, fresh_names
 
 WEIGHTS = (5, 2, 1)
 MOST_TIMES = 3
@@ -104,9 +104,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents as often as the mix takes them (words taken over size, rounded to whole documents)."""
     cols = docs.columns
-    taken = mix(docs, id_col, text_col, source_col).withColumn("copies", F.floor(F.col("taken") / F.col("size") + F.lit(0.5)))
-    taken = taken.where("size > 0").groupBy("doc_id", "text_hash").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
-    taken = taken.where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h"), F.ceil(F.col("copies") / F.col("rows")).alias("__n"))
-    keyed = docs.withColumn("__k", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    kept = keyed.join(taken, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__k") == F.col("__h")))
-    return kept.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*cols)
+    key, id_, hash_, times, copy = fresh_names(docs, "key", "id", "hash", "times", "copy")
+    taken = mix(docs, id_col, text_col, source_col).withColumn("copies", F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + F.lit(0.5)))
+    taken = taken.where("size > 0").groupBy(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
+    taken = taken.where("copies > 0").select(id_, hash_, F.ceil(F.col("copies") / F.col("rows")).alias(times))
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    kept = keyed.join(taken, F.col(id_col).eqNullSafe(F.col(id_)) & (F.col(key) == F.col(hash_)))
+    return kept.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*cols)

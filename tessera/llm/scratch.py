@@ -28,6 +28,17 @@ def _delete(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df doesn't have, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def has_irregular_ids(docs: DataFrame, id_col: str) -> bool:
     """Whether an id is null or stands twice."""
     counts = docs.groupBy(F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("n"))
