@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources.pins import Pins
 from ..sources.tables import Tables
 
-_TOKEN = re.compile(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|--[^\n]*|/\*.*?\*/|!~~|~~|//|\bQUALIFY\b|.", re.IGNORECASE | re.DOTALL)
+_TOKEN = re.compile(r"'(?:[^']|'')*'|`[^`]*`|\"(?:[^\"]|\"\")*\"|--[^\n]*|/\*.*?\*/|!~~|~~|//|\bQUALIFY\b|.", re.IGNORECASE | re.DOTALL)
 _FILES = re.compile(r"\b(?:read_parquet|parquet_scan)\s*\(\s*'([^']*)'\s*\)", re.IGNORECASE)
 
 
