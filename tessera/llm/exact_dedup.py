@@ -37,7 +37,8 @@ def radix_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     raw = F.coalesce(F.col("t"), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).select("id", raw.alias("raw"))
     rows = rows.withColumns({"n_bytes": F.octet_length("raw"), "digit": _digit(F.col("raw"), 0, first_bytes)})
-    shared = rows.groupBy("n_bytes", "digit").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("n_bytes", "digit", F.lit(True).alias("more"))
+    # Written before the join, so that it is a join of two shuffles: then AQE splits the partition of a hot group.
+    shared = scratch.keep(rows.groupBy("n_bytes", "digit").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("n_bytes", "digit", F.lit(True).alias("more")), "shared")
     first = rows.select("id", "raw", "n_bytes", "digit", F.sha2("raw", 256).alias("sha256")).join(shared.hint("merge"), ["n_bytes", "digit"], "left")
     first = first.select("id", "n_bytes", "sha256", F.coalesce("more", F.lit(False)).alias("open"), F.when(F.col("more"), F.col("raw")).alias("raw"), F.monotonically_increasing_id().alias("rid"), F.when(F.col("more"), F.col("digit")).alias("digit"))
     first = scratch.keep(first, "first")
@@ -60,7 +61,7 @@ def radix_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     for more in ended[1:]:
         members = members.union(more)
     totals = members.groupBy("level", "gid").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("id", "rid")).alias("top"))
-    totals = totals.where("group_size > 1").select("level", "gid", "group_size", F.col("top.id").alias("keep_id"), F.col("top.rid").alias("keep_rid"))
+    totals = scratch.keep(totals.where("group_size > 1").select("level", "gid", "group_size", F.col("top.id").alias("keep_id"), F.col("top.rid").alias("keep_rid")), "totals")
     grouped = members.join(totals.hint("merge"), ["level", "gid"]).select("rid", F.struct("level", "gid").alias("gid"), "group_size", "keep_id", "keep_rid")
     out = first.select("id", "n_bytes", "sha256", "rid").join(grouped.hint("merge"), "rid", "left")
     return out.select(F.col("id").alias(id_col), "n_bytes", "sha256", "rid", "gid", F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.when(F.col("gid").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("keep_rid", "rid").alias("keep_rid"))

@@ -136,6 +136,7 @@ def _stars(left: DataFrame, labels: DataFrame | None, keys: range, need: int, sc
         keyed = keyed.withColumn("comp", F.lit(None).cast("long"))
     keyed = keyed.withColumn("comp", F.coalesce("comp", "doc_id"))
     heads = keyed.groupBy("key").agg(F.min(F.struct("own", "doc_id", "n", "shared", "comp")).alias("h"), F.count(F.lit(1)).alias("many")).where("many > 1").select("key", "h")
+    heads = scratch.keep(heads, f"{name}-heads")
     met = keyed.join(heads, "key").where("h.comp <> comp").select(F.col("h.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("h.n").alias("n1"), "n", F.least("h.shared", "shared").alias("shared"))
     return met.where(_possible(F.col("n1"), F.col("n"), F.col("shared"), need)).select("a", "b").distinct()
 
@@ -199,10 +200,11 @@ def _prefixes(left: DataFrame, need: int, most: int) -> DataFrame:
     return left.select("doc_id", "n", "tokens", "dfs").mapInArrow(each, "token long, doc_id long, n long, matches int, place long, shared long, " + ", ".join(f"{b} long" for b in BITMAP))
 
 
-def _candidates(prefixes: DataFrame, labels: DataFrame, need: int) -> DataFrame:
+def _candidates(prefixes: DataFrame, labels: DataFrame, need: int, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of different components that share as many prefix shingles as the shorter demand asks."""
     rows = prefixes.join(labels.select(F.col("node").alias("doc_id"), "comp"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
     mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+    mixed = scratch.keep(mixed, "mixed")
     rows = rows.join(mixed, "token", "left_semi")
     one = rows.select("token", *(F.col(c).alias(f"{c}1") for c in ("doc_id", "n", "matches", "place", "comp", "shared", *BITMAP)))
     two = rows.select("token", *(F.col(c).alias(f"{c}2") for c in ("doc_id", "n", "matches", "place", "comp", "shared", *BITMAP)))
@@ -236,9 +238,10 @@ def near_components(docs: DataFrame, need: int = NEED, width: int = WIDTH, id_co
         own = numbered.select("uid", F.col("doc_id").alias("id"))
         rows = numbered.select(F.col("uid").alias("doc_id"), "text")
     seen = scratch.keep(_summary(rows, width), "seen")
-    classes = seen.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
+    # Written before the join, so that it is a join of two shuffles: then AQE splits the partition of a hot class.
+    classes = scratch.keep(seen.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")), "classes")
     members = scratch.keep(seen.join(classes, ["k1", "k2", "n"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "members")
-    scratch.drop("seen")
+    scratch.drop("seen", "classes")
     total = members.agg(F.sum("n")).first()[0] or 0
     reps = members.where("doc_id = rep AND n > 0").select("doc_id", "n")
     some = scratch.keep(_shared_shingles(rows, _of_texts(width), reps, total, need), "some")
@@ -252,7 +255,7 @@ def near_components(docs: DataFrame, need: int = NEED, width: int = WIDTH, id_co
     first = first.unionByName(more)
     labels = components(first, scratch, "contract2")
     prefixes = scratch.keep(_prefixes(left, need, MOST_MATCHES), "prefixes")
-    pairs = scratch.keep(_candidates(prefixes, labels, need), "pairs")
+    pairs = scratch.keep(_candidates(prefixes, labels, need, scratch), "pairs")
     second = scratch.keep(_verified(pairs, left, need), "second")
     whole = components(first.unionByName(second), scratch, "whole")
     scratch.drop("keys1", "keys2", "prefixes", "pairs", "left")
