@@ -10,6 +10,7 @@ streams its documents; what crosses a boundary is one document per partition.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from collections.abc import Iterator
 
@@ -21,17 +22,17 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 from .shingles import SLICE_BYTES, WIDTH, sequence_hashes, shingle_sets, slices, word_hashes
 
-PERMS = 96
+PERMS = 192
 BAND_ROWS = 6
 THRESHOLD = 0.75
 _A = np.random.default_rng(7).integers(1, 1 << 63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = np.random.default_rng(8).integers(0, 1 << 63, 1024, dtype=np.uint64)
-EMPTY = 0xFFFF
+EMPTY = 0xFF
 
 
 def signatures(texts: list[bytes], perms: int = PERMS, width: int = WIDTH) -> np.ndarray:
-    """uint16 (texts, perms). A text without words has EMPTY in every component."""
-    out = np.full((len(texts), perms), EMPTY, dtype=np.uint16)
+    """uint8 (texts, perms): a byte of each least value. A text without words has EMPTY in every component."""
+    out = np.full((len(texts), perms), EMPTY, dtype=np.uint8)
     for a, b in slices(texts, SLICE_BYTES // 2):
         words, first = word_hashes(texts[a:b])
         every = sequence_hashes(words, width)
@@ -50,17 +51,17 @@ def signatures(texts: list[bytes], perms: int = PERMS, width: int = WIDTH) -> np
             np.multiply(hashes, _A[k], out=value)
             value += _B[k]
             least = np.minimum.reduceat(value, starts)
-            out[rows, k] = (least >> np.uint64(20)).astype(np.uint16)
+            out[rows, k] = (least >> np.uint64(20)).astype(np.uint8)
     return out
 
 
 def likeness(one: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """The share of equal components: an estimate of the Jaccard similarity of the shingle sets."""
-    return (one == other).mean(axis=1)
+    """An estimate of the Jaccard similarity of the shingle sets: the share of equal components, less what chance gives a byte."""
+    return np.maximum(0.0, ((one == other).mean(axis=1) - 1 / 256) / (1 - 1 / 256))
 
 
-def _hex(signature: np.ndarray) -> list[str]:
-    return [row.astype(">u2").tobytes().hex() for row in signature]
+def _printable(signature: np.ndarray) -> list[str]:
+    return [base64.b64encode(row.tobytes()).decode() for row in signature]
 
 
 FIELDS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -77,7 +78,7 @@ def _rows(ids: list, texts: list[str], following: list[str], perms: int, own: np
     edited = [_edit(t, f) for t, f in zip(texts, following, strict=True)]
     raw = [e.encode() for e in edited]
     changed = signatures(raw, perms)
-    return [pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(r).hexdigest() for r in raw]), pa.array(_hex(own)), pa.array(_hex(changed)), pa.array(likeness(own, changed)), pa.array(likeness(own, after))]
+    return [pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(r).hexdigest() for r in raw]), pa.array(_printable(own)), pa.array(_printable(changed)), pa.array(likeness(own, changed)), pa.array(likeness(own, after))]
 
 
 def with_next(docs: DataFrame, perms: int = PERMS, id_col: str = "doc_id", text_col: str = "text", rows_per_task: int = 1000) -> DataFrame:
@@ -154,8 +155,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, perms: int =
     Within a band bucket each document meets the bucket's smallest id only, so a bucket of n gives n - 1 candidates. An
     LSH search: pairs that share no band aren't found. Texts without words are near nothing.
     """
-    signed = fingerprints(docs, perms, id_col, text_col).where(F.col("signature") != F.lit(bytes([0xFF, 0xFF] * perms)))
-    size = 2 * band_rows
+    signed = fingerprints(docs, perms, id_col, text_col).where(F.col("signature") != F.lit(bytes([EMPTY] * perms)))
+    size = band_rows
     bands = F.explode(F.array(*(F.struct(F.lit(b).alias("b"), F.substring("signature", b * size + 1, size).alias("v")) for b in range(perms // band_rows))))
     rows = signed.select("doc_id", bands.alias("band")).select("doc_id", "band.b", "band.v")
     leaders = rows.groupBy("b", "v").agg(F.min("doc_id").alias("near_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
