@@ -35,7 +35,7 @@ LENGTH = 100
 GRAM = 32
 BLOCK_BYTES = 10_000_000
 PART_BYTES = 3_000_000
-CHUNK_CONTEXTS = 8192
+CHUNK_CONTEXTS = 2048
 BEFORE, AFTER = 0xFF, 0xFE  # bytes that UTF-8 never has: beyond a document's start and end
 _LETTER = np.random.default_rng(1).integers(0, 1 << 63, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
@@ -138,13 +138,14 @@ def _sorted_repeats(cols: np.ndarray, uid: np.ndarray, start: np.ndarray, length
     """
     m, width = cols.shape
     lo, hi = _bounds(cols)
-    text = np.zeros((m, width + 1), np.int64)
+    text = np.zeros((m, width + 1), np.int32)
     text[:, :width] = cols
     text += 1  # the gap between contexts is 1, bytes start at 2
     text[:, :width] += 1
     text[:, width] = 1
     order = suffix_array(text.ravel())
     row, col = order // (width + 1), order % (width + 1)
+    del text
     valid = (col >= lo[row]) & (col + length <= hi[row])
     order, row, col = order[valid], row[valid], col[valid]
     out = np.zeros((m, width - length + 1), bool)

@@ -23,35 +23,41 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     """
     n = len(text)
     if n < 3:
-        return np.array(sorted(range(n), key=lambda i: text[i:].tolist()), dtype=np.int64)
-    s = np.concatenate([text.astype(np.int64), np.zeros(3, np.int64)])
-    one = np.arange(1, n + (n % 3 == 1), 3)  # where n leaves 1, an empty suffix ends the first run of the names
-    two = np.arange(2, n, 3)
-    sample = np.concatenate([one, two])
+        return np.array(sorted(range(n), key=lambda i: text[i:].tolist()), dtype=np.int32)
+    s = np.zeros(n + 3, np.int32)
+    s[:n] = text
+    one = np.arange(1, n + (n % 3 == 1), 3, dtype=np.int32)  # where n leaves 1, an empty suffix ends the first run of the names
+    sample = np.concatenate([one, np.arange(2, n, 3, dtype=np.int32)])
     top = int(s.max()) + 1
     if top < 1 << 21:
-        triple = (s[sample] * top + s[sample + 1]) * top + s[sample + 2]
+        triple = (s[sample].astype(np.int64) * top + s[sample + 1]) * top + s[sample + 2]
     else:
-        triple = _dense(s[sample], s[sample + 1], s[sample + 2])
-    order = np.argsort(triple, kind="stable")
-    name = np.empty(len(sample), np.int64)
+        triple = _dense(s[sample].astype(np.int64), s[sample + 1], s[sample + 2])
+    order = np.argsort(triple, kind="stable").astype(np.int32)
+    name = np.empty(len(sample), np.int32)
     name[order] = np.cumsum(np.diff(triple[order], prepend=triple[order[:1]] - 1) != 0)
+    del triple
     if name[order[-1]] < len(sample):
+        del order
         order = suffix_array(name)
-    rank = np.zeros(n + 3, np.int64)
-    rank[sample[order]] = np.arange(1, len(sample) + 1)
+    rank = np.zeros(n + 3, np.int32)
     ranked = sample[order]
+    rank[ranked] = np.arange(1, len(sample) + 1, dtype=np.int32)
+    del sample, order, name
     ranked = ranked[ranked < n]
-    wide = len(sample) + 2
-    rest = np.arange(0, n, 3)
-    rest = rest[np.argsort(s[rest] * wide + rank[rest + 1], kind="stable")]
-    pair = s[:-1] * top + s[1:]
+    wide = 2 * (n // 3) + 4
+    rest = np.arange(0, n, 3, dtype=np.int32)
+    key = s[rest].astype(np.int64) * wide + rank[rest + 1]
+    rest = rest[np.argsort(key, kind="stable")]
+    key = s[rest].astype(np.int64) * wide + rank[rest + 1]
+    first, second = ranked[ranked % 3 == 1], ranked[ranked % 3 == 2]
+    place = np.arange(len(rest)) + np.searchsorted(s[first].astype(np.int64) * wide + rank[first + 1], key)
+    pair = s[:-1].astype(np.int64) * top + s[1:]
     if top * top > (1 << 62) // wide:
         _, pair = np.unique(pair, return_inverse=True)
-    first, second = ranked[ranked % 3 == 1], ranked[ranked % 3 == 2]
-    place = np.arange(len(rest)) + np.searchsorted(s[first] * wide + rank[first + 1], s[rest] * wide + rank[rest + 1])
     place += np.searchsorted(pair[second] * wide + rank[second + 2], pair[rest] * wide + rank[rest + 2])
-    out = np.empty(n, np.int64)
+    del pair, key
+    out = np.empty(n, np.int32)
     out[place] = rest
     others = np.ones(n, bool)
     others[place] = False
