@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ship(spark: SparkSession) -> None:
@@ -81,7 +82,8 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_model import lm_scores
 
-    return lm_scores(documents(spark, sf_dir))
+    scores = lm_scores(documents(spark, sf_dir))  # rounded beyond what the order of a sum can change
+    return scores.withColumns({"log_score": F.round("log_score", 4), "mean_log_score": F.round("mean_log_score", 6)})
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,9 +99,50 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
 
+_WORDS = r"""w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents)"""
+
+OP9_SQL = f"""
+WITH {_WORDS},
+t AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w),
+g AS (SELECT doc_id, i, x, lag(x) OVER d AS v, lag(x, 2) OVER d AS u FROM t WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+k AS (SELECT doc_id, i,
+        count(*) OVER (PARTITION BY x) - count(*) OVER (PARTITION BY doc_id, x) AS one,
+        CASE WHEN i >= 2 THEN count(*) OVER (PARTITION BY v, x) - count(*) OVER (PARTITION BY doc_id, v, x) ELSE 0 END AS two,
+        CASE WHEN i >= 3 THEN count(*) OVER (PARTITION BY u, v, x) - count(*) OVER (PARTITION BY doc_id, u, v, x) ELSE 0 END AS three,
+        greatest(count(*) OVER () - count(*) OVER (PARTITION BY doc_id), 1) AS rest
+      FROM g),
+m AS (SELECT *, lag(one) OVER d AS one_before, lag(two) OVER d AS two_before FROM k WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+s AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE three > 0) AS n3, count(*) FILTER (WHERE three = 0 AND two > 0) AS n2,
+        sum(ln(CASE WHEN three > 0 THEN three / two_before
+                    WHEN two > 0 THEN two / one_before * CASE WHEN i >= 3 THEN 0.4::DOUBLE ELSE 1 END
+                    ELSE greatest(one, 1) / rest * pow(0.4::DOUBLE, least(i - 1, 2)) END)) AS score
+      FROM m GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(n3, 0) AS n_trigram, coalesce(n2, 0) AS n_bigram,
+       round(coalesce(score, 0), 4) AS log_score, round(score / n, 6) AS mean_log_score
+FROM documents LEFT JOIN s USING (doc_id)
+"""
+
+OP10_SQL = f"""
+WITH RECURSIVE {_WORDS},
+sh AS (SELECT DISTINCT doc_id, s FROM (
+  SELECT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+                             WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS s FROM w) AS x),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh AS a JOIN sh AS b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM p JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT DISTINCT a AS node, a AS other FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.other = e.a),
+c AS (SELECT node, min(other) AS least_ FROM r GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.least_, d.doc_id) AS component_id
+FROM documents AS d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.node = d.doc_id
+"""
+
+
 def queries() -> dict:
     return {"op1_exact_dedup": op1_exact_dedup, "op2_quality": op2_quality, "op3_secrets": op3_secrets, "op4_packing": op4_packing, "op5_licenses": op5_licenses, "op6_fingerprints": op6_fingerprints, "op7_suffix_dedup": op7_suffix_dedup, "op8_mixing": op8_mixing, "op9_lm_scores": op9_lm_scores, "op10_jaccard_join": op10_jaccard_join}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op9_lm_scores": OP9_SQL, "op10_jaccard_join": OP10_SQL}

@@ -3,9 +3,6 @@ from __future__ import annotations
 import hashlib
 from collections import Counter, defaultdict
 
-from oracle import DATA, assert_same
-
-from tessera.llm import registry
 from tessera.llm.exact_dedup import drop_exact, exact_dedup, radix_groups
 
 
@@ -16,10 +13,6 @@ def brute(rows):
     return groups
 
 
-def test_against_sql(spark, duck):
-    assert_same(registry.queries()["op1_exact_dedup"](spark, DATA), duck, registry.oracle_sql()["op1_exact_dedup"])
-
-
 def test_edge_rows(edge, edge_rows):
     groups = brute(edge_rows)
     found = {r["doc_id"]: r for r in exact_dedup(edge).collect()}
