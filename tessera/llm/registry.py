@@ -140,9 +140,25 @@ FROM documents AS d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.node = d
 """
 
 
+OP7_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+m AS (SELECT doc_id, unnest(list_transform(range(0, n - 99), lambda s: md5_number(substr(hx, 2 * s + 1, 200)))) AS x, unnest(range(0, n - 99)) AS s FROM d),
+w AS (SELECT doc_id, s, row_number() OVER (PARTITION BY x ORDER BY doc_id, s) AS k FROM m),
+h AS (SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS p FROM w WHERE k > 1),
+g AS (SELECT doc_id, s, sum(CASE WHEN p IS NULL OR s > p + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM h),
+spans AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS b FROM g GROUP BY doc_id, run),
+totals AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS removed, count(*) AS n_spans, max(b) AS last_ FROM spans GROUP BY doc_id),
+pieces AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS f, a AS t FROM spans
+           UNION ALL SELECT doc_id, coalesce(last_, 0), n FROM d LEFT JOIN totals USING (doc_id)),
+kept AS (SELECT doc_id, string_agg(substr(hx, 2 * f + 1, 2 * (t - f)), '' ORDER BY f) AS k FROM pieces JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, ''))) AS kept_sha256
+FROM d LEFT JOIN totals USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def queries() -> dict:
     return {"op1_exact_dedup": op1_exact_dedup, "op2_quality": op2_quality, "op3_secrets": op3_secrets, "op4_packing": op4_packing, "op5_licenses": op5_licenses, "op6_fingerprints": op6_fingerprints, "op7_suffix_dedup": op7_suffix_dedup, "op8_mixing": op8_mixing, "op9_lm_scores": op9_lm_scores, "op10_jaccard_join": op10_jaccard_join}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op9_lm_scores": OP9_SQL, "op10_jaccard_join": OP10_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op7_suffix_dedup": OP7_SQL, "op9_lm_scores": OP9_SQL, "op10_jaccard_join": OP10_SQL}
