@@ -37,6 +37,20 @@ _SUITE = [
     "SELECT props, count(*) AS n FROM events WHERE event_type = 'click' AND ts >= DATE '2024-01-05' AND ts < DATE '2024-01-20' GROUP BY props ORDER BY n DESC, props LIMIT 10",
     "SELECT CASE WHEN event_type = 'click' AND value > 1 THEN props ELSE '' END AS src, event_type AS dst, count(*) AS n FROM events GROUP BY CASE WHEN event_type = 'click' AND value > 1 THEN props ELSE '' END, event_type ORDER BY n DESC, src, dst LIMIT 10 OFFSET 2",
     "SELECT CAST(date_trunc('minute', ts) AS TIMESTAMP) AS m, count(*) AS n FROM events WHERE ts >= DATE '2024-01-14' AND ts < DATE '2024-01-16' GROUP BY date_trunc('minute', ts) ORDER BY m LIMIT 10 OFFSET 10",
+    "SELECT user_id, count(*) AS n, CAST(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS BIGINT) AS clicks FROM events WHERE value > 0 GROUP BY user_id ORDER BY n DESC, user_id LIMIT 10",
+    "SELECT CAST(extract(hour FROM ts) AS BIGINT) AS h, count(*) AS n FROM events WHERE event_type IN ('click', 'view') GROUP BY extract(hour FROM ts) ORDER BY h",
+    "SELECT min(event_type) AS lo, max(event_type) AS hi, min(props) AS p FROM events WHERE user_id > 10",
+    "SELECT event_type, max(value) AS top, min(ts) AS first_ FROM events GROUP BY event_type HAVING max(value) > 0 ORDER BY top DESC, event_type",
+    "SELECT user_id, min(ts) AS first_, max(ts) AS last_, count(DISTINCT event_type) AS kinds FROM events GROUP BY user_id HAVING count(DISTINCT event_type) >= 3 ORDER BY user_id LIMIT 50",
+    "SELECT event_type || ':' || props AS k, count(*) AS n FROM events GROUP BY event_type || ':' || props ORDER BY n DESC, k LIMIT 15",
+    "SELECT DISTINCT event_type, props FROM events WHERE value > 1 ORDER BY event_type, props LIMIT 20",
+    "SELECT count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) AS x",
+    "SELECT user_id % 10 AS bucket, count(*) AS n, count(DISTINCT user_id) AS u FROM events GROUP BY user_id % 10 ORDER BY bucket",
+    "SELECT CAST(length(props) AS BIGINT) AS l, count(*) AS n FROM events GROUP BY length(props) ORDER BY l",
+    "SELECT event_id, user_id FROM events WHERE user_id = 42 AND event_type = 'click' OR user_id = 43 AND event_type <> 'click' ORDER BY event_id",
+    "SELECT CAST(ts AS DATE) AS d, count(*) AS n FROM events WHERE event_type NOT LIKE '%i%' GROUP BY CAST(ts AS DATE) ORDER BY d",
+    "SELECT event_type, user_id, n FROM (SELECT event_type, user_id, count(*) AS n, row_number() OVER (PARTITION BY event_type ORDER BY count(*) DESC, user_id) AS r FROM events GROUP BY event_type, user_id) AS x WHERE r <= 3",
+    "SELECT replace(event_type, 'i', 'I') AS t, round(sum(value) / count(*), 6) AS a FROM events WHERE ts BETWEEN DATE '2024-01-10' AND DATE '2024-01-12' GROUP BY replace(event_type, 'i', 'I') ORDER BY t",
 ]
 for _k, _sql in enumerate(_SUITE, 1):
     text(f"clickbench_like_{_k:02d}", _sql.replace("AS TIMESTAMP)", "AS TIMESTAMP_NTZ)"), _sql)
