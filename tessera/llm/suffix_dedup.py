@@ -6,14 +6,16 @@ both copies of a repeated string lie around an anchor that stands twice.
 
 1. Each block of documents counts its anchors in hash partitions (a few bytes each), and learns which repeat.
 2. Around each repeated anchor all strings of LENGTH with that anchor form a context of 2 * LENGTH - GRAM bytes. Contexts
-   that are equal within a block go there and then, all but the first; each other one goes to its anchor's partition.
-3. A partition drops contexts that are equal to an earlier one. Those left that agree with another on either half beside
-   the anchor are sorted by their suffixes (suffixes.suffix_array: sampled triples, recursion on names, merge), and
-   adjacent suffixes are compared over LENGTH bytes. All but the earliest of equal strings are repeats.
+   that are equal within a block go there and then, all but the first. Each other one goes on in two halves: strings that
+   start in one half all have a core of bytes in common, and each half goes to the hash partition of its core.
+3. A partition drops half contexts that are equal to an earlier one. Those left that share a core with another are sorted by
+   their suffixes (suffixes.suffix_array: sampled triples, recursion on names, merge), and adjacent suffixes are compared
+   over LENGTH bytes. All but the earliest of equal strings are repeats.
 4. The blocks merge the repeats of their documents and cut them out.
 
-Scale: texts are shuffled into blocks once, for all uses. A passage that many documents share costs a block one context,
-and a partition sorts its contexts in chunks that share one side of the anchor. No count or list passes the driver.
+Scale: texts are shuffled into blocks once, for all uses. A passage that many documents share costs a block one context a
+place, and a common line meets in one task only where it has more than 60 bytes. Partitions sort in chunks of whole cores.
+No count or list passes the driver.
 """
 
 from __future__ import annotations
@@ -165,27 +167,32 @@ def _sorted_repeats(cols: np.ndarray, uid: np.ndarray, start: np.ndarray, length
     return out
 
 
-def _repeats(contexts: np.ndarray, uid: np.ndarray, at: np.ndarray, length: int, gram: int) -> np.ndarray:
-    """(rows, side + 1) of distinct contexts: where strings start that also start earlier."""
-    side, half = length - gram, (length - gram) // 2
-    out = np.zeros((len(contexts), side + 1), bool)
-    # Two contexts with a string in common agree on half a side before the anchor, or on the other half after it.
-    for first, last, key in ((0, side - half, slice(half, length)), (side - half, side, slice(side, length + side - half))):
-        h = _row_hash(contexts[:, key])
-        order = np.argsort(h, kind="stable")
-        edges = np.append(np.flatnonzero(np.diff(h[order], prepend=~h[order[:1]]) != 0), len(order))
-        sizes = np.diff(edges)
-        chunk: list[np.ndarray] = []
-        held = 0
-        groups = [order[edges[i] : edges[i + 1]] for i in np.flatnonzero(sizes > 1)]
-        for k, rows in enumerate(groups):
-            chunk.append(rows)
-            held += len(rows)
-            if held >= CHUNK_CONTEXTS or k == len(groups) - 1:
-                mine = np.concatenate(chunk)
-                found = _sorted_repeats(contexts[mine, first : last + length], uid[mine], at[mine] - side + first, length)
-                out[mine, first : last + 1] |= found
-                chunk, held = [], 0
+def _halves(length: int, gram: int) -> tuple[tuple[int, int], tuple[int, int]]:
+    """First and last column where strings of a context start, in two halves: each half's strings share the core between."""
+    side = length - gram
+    return (0, side - side // 2), (side - side // 2, side)
+
+
+def _repeats(cols: np.ndarray, uid: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    """(rows, width - length + 1) of distinct half contexts: where strings start that also start earlier.
+
+    Only rows that agree on the core, the bytes that all their strings have, can have a string in common.
+    """
+    last = cols.shape[1] - length
+    out = np.zeros((len(cols), last + 1), bool)
+    h = _row_hash(cols[:, last:length])
+    order = np.argsort(h, kind="stable")
+    edges = np.append(np.flatnonzero(np.diff(h[order], prepend=~h[order[:1]]) != 0), len(order))
+    groups = [order[edges[i] : edges[i + 1]] for i in np.flatnonzero(np.diff(edges) > 1)]
+    chunk: list[np.ndarray] = []
+    held = 0
+    for k, rows in enumerate(groups):
+        chunk.append(rows)
+        held += len(rows)
+        if held >= CHUNK_CONTEXTS or k == len(groups) - 1:
+            mine = np.concatenate(chunk)
+            out[mine] = _sorted_repeats(cols[mine], uid[mine], start[mine], length)
+            chunk, held = [], 0
     return out
 
 
@@ -219,7 +226,7 @@ def _context_table(rows: list[tuple]) -> pa.Table:
 
 
 def _contexts(docs: DataFrame, sums: DataFrame, parts: int, length: int, gram: int) -> DataFrame:
-    """Contexts of repeated anchors for their partitions; and spans already known to go, for partition parts + block."""
+    """Half contexts of repeated anchors for their cores' partitions; and spans known to go, for partition 2 * parts + block."""
 
     def each(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -239,22 +246,24 @@ def _contexts(docs: DataFrame, sums: DataFrame, parts: int, length: int, gram: i
             kept.append((docs_.ids[doc[own]], at[own] - start[own], docs_.contexts(data, start[own], end[own], at[own])))
         del found
         uid, at, ctx = (np.concatenate(c) for c in zip(*kept, strict=True))
-        key = (keys >> np.uint64(40)).astype(np.int64)[repeated]
         lo, hi = _bounds(ctx)
         some = hi - lo >= length
-        uid, at, ctx, key, lo, hi = (x[some] for x in (uid, at, ctx, key, lo, hi))
+        uid, at, ctx, lo, hi = (x[some] for x in (uid, at, ctx, lo, hi))
         if not len(uid):
             return _context_table([])
-        first = _first_of_equal(_row_hash(ctx), uid, at)
-        base = at - (length - gram)
-        gone = ~first
-        rows = [_pack_spans(parts + block, block, uid[gone], (base + lo)[gone], (base + hi)[gone])] if gone.any() else []
-        uid, at, ctx, key = uid[first], at[first], ctx[first], key[first]
-        order = np.argsort(key, kind="stable")
-        edges = np.searchsorted(key[order], np.arange(parts + 1))
-        for p in np.flatnonzero(np.diff(edges)):
-            mine = order[edges[p] : edges[p + 1]]
-            rows.append((int(p), block, len(mine), pack(uid[mine].astype("<i8"), at[mine].astype("<i8")), pa.compress(ctx[mine].tobytes(), codec="zstd", asbytes=True)))
+        kept_here = _first_of_equal(_row_hash(ctx), uid, at)
+        base, gone = at - (length - gram), ~kept_here
+        rows = [_pack_spans(2 * parts + block, block, uid[gone], (base + lo)[gone], (base + hi)[gone])] if gone.any() else []
+        for k, (first, last) in enumerate(_halves(length, gram)):
+            mine = np.flatnonzero(kept_here & (np.maximum(lo, first) <= np.minimum(hi - length, last)))
+            core = _row_hash(ctx[mine, last : first + length])
+            key = (((core >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+            order = np.argsort(key, kind="stable")
+            mine, edges = mine[order], np.searchsorted(key[order], np.arange(parts + 1))
+            for p in np.flatnonzero(np.diff(edges)):
+                own = mine[edges[p] : edges[p + 1]]
+                raw = pa.compress(ctx[own, first : last + length].tobytes(), codec="zstd", asbytes=True)
+                rows.append((k * parts + int(p), block, len(own), pack(uid[own].astype("<i8"), (base[own] + first).astype("<i8")), raw))
         return _context_table(rows)
 
     return docs.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(each, CONTEXTS)
@@ -262,28 +271,30 @@ def _contexts(docs: DataFrame, sums: DataFrame, parts: int, length: int, gram: i
 
 def _resolved(contexts: DataFrame, parts: int, length: int, gram: int) -> DataFrame:
     """Spans to remove, by block."""
-    width = 2 * length - gram
 
     def each(table: pa.Table) -> pa.Table:
         part, block, sizes, packs, raw = (table.column(c).to_pylist() for c in ("part", "block", "n", "packed", "contexts"))
-        if part[0] >= parts:
+        if part[0] >= 2 * parts:
             return table
+        first, last = _halves(length, gram)[part[0] // parts]
+        width = last - first + length
         read = [unpack(p, ("<i8", n), ("<i8", n)) for n, p in zip(sizes, packs, strict=True)]
-        uid, at = (np.concatenate(c) for c in zip(*read, strict=True))
-        ctx = np.concatenate([np.frombuffer(pa.decompress(r, decompressed_size=n * width, codec="zstd", asbytes=True), np.uint8).reshape(n, width) for n, r in zip(sizes, raw, strict=True)])
+        uid, start = (np.concatenate(c) for c in zip(*read, strict=True))
+        cols = np.concatenate([np.frombuffer(pa.decompress(r, decompressed_size=n * width, codec="zstd", asbytes=True), np.uint8).reshape(n, width) for n, r in zip(sizes, raw, strict=True)])
         owner = np.repeat(np.asarray(block), sizes)
-        base = at - (length - gram)
-        first = _first_of_equal(_row_hash(ctx), uid, at)
-        lo, hi = _bounds(ctx)
-        spans = [(owner[~first], uid[~first], (base + lo)[~first], (base + hi)[~first])]
-        covered = _repeats(ctx[first], uid[first], at[first], length, gram)
-        row_owner = np.repeat(owner[first], (np.diff(covered.astype(np.int8), axis=1, prepend=0) == 1).sum(axis=1))
-        spans.append((row_owner, *_spans(uid[first], base[first], covered, length)))
+        fresh = _first_of_equal(_row_hash(cols), uid, start)
+        lo, hi = _bounds(cols)
+        spans = [(owner[~fresh], uid[~fresh], (start + lo)[~fresh], (start + hi)[~fresh])]
+        covered = _repeats(cols[fresh], uid[fresh], start[fresh], length)
+        row_owner = np.repeat(owner[fresh], (np.diff(covered.astype(np.int8), axis=1, prepend=0) == 1).sum(axis=1))
+        spans.append((row_owner, *_spans(uid[fresh], start[fresh], covered, length)))
         owner, uid, start, end = (np.concatenate(c) for c in zip(*spans, strict=True))
+        order = np.argsort(owner, kind="stable")
+        edges = np.append(np.flatnonzero(np.diff(owner[order], prepend=-1)), len(order))
         rows = []
-        for b in np.unique(owner):
-            mine = owner == b
-            rows.append(_pack_spans(part[0], int(b), uid[mine], start[mine], end[mine]))
+        for a, b in zip(edges, edges[1:], strict=False):
+            mine = order[a:b]
+            rows.append(_pack_spans(part[0], int(owner[mine[0]]), uid[mine], start[mine], end[mine]))
         return _context_table(rows)
 
     return contexts.groupBy("part").applyInArrow(each, CONTEXTS)
