@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tessera.llm.packing import pack, plan
+from tessera.llm.packing import PLAIN, Encoder, pack, plan
 
 
 def check(found, rows, capacity):
@@ -76,3 +76,15 @@ def test_plan_is_near_the_bound():
     histogram = Counter(min(2048, int(rng.lognormvariate(6, 1)) + 1) for _ in range(20_000))
     bins = plan(histogram)
     assert sum(t for _, t in bins) <= 1.01 * sum(n * c for n, c in histogram.items()) / 2048
+
+
+def test_both_tokenizers_agree_on_plain_texts():
+    """The fast form is used on these characters alone."""
+    encoder = Encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    rng = random.Random(1)
+    every = [chr(c) for c in [*range(0x250), *range(0x2010, 0x2028)]]
+    tricky = [*" \n\t\r\x0b\x0c\x1c\x85\xa0'asé1².!ª"]
+    for k in range(1500):
+        text = "".join(rng.choice(tricky if k % 2 else every) for _ in range(rng.randint(0, 40)))
+        assert PLAIN.fullmatch(text)
+        assert encoder.fast.encode_to_numpy(text).tolist() == encoder.exact.encode(text, add_special_tokens=False).ids

@@ -39,3 +39,13 @@ def test_clean_documents_stay(spark):
     kept = {r["doc_id"] for r in corpus_pipeline.quality(spark, docs, DATA).collect()}
     good = {r["doc_id"] for r in labels.where("quality = 1").join(docs, "doc_id").collect()}
     assert len(good & kept) >= 0.95 * len(good)
+
+
+def test_stages_on_odd_tables(spark, irregular, empty):
+    """Nulls, repeated rows and ids, clashing column names, and no rows at all."""
+    for docs in (irregular[0], empty):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, DATA)
+            assert out.columns == docs.columns, name
+            docs = spark.createDataFrame(out.collect(), docs.schema)
+        assert (corpus_pipeline.STAGES[-1][1](spark, docs, DATA).count() > 0) == (not docs.isEmpty())
