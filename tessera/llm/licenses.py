@@ -1,9 +1,10 @@
 """Licence scan by a positional rare-token index (DataFrame functions only).
 
 The index holds, for every licence word of the templates, its postings (template, position). A document's
-licence words are kept with their positions; the rarest of them by corpus IDF are looked up, and postings whose
-relative position (document minus template) agree are intersected. A template is found where its rarest words agree on
-one relative position, most of its word weight stands there, and its mandatory key phrase stands there word by word.
+licence words are kept with their positions; those that aren't common are looked up for each template whose mandatory
+key phrase stands in the document, and postings whose relative position (document minus template) agree are
+intersected. A template is found where its key phrase stands word by word and most of its word weight, by corpus IDF,
+agrees on that relative position. How many other or rarer licence words the document holds doesn't matter.
 
 Scale: texts are read once, row by row, into a narrow table of licence hits. Document frequencies have one row per
 vocabulary word, a fixed bound; everything after is keyed by document, so no key is hot.
@@ -42,7 +43,6 @@ TEMPLATES = [
 #: Not looked up: they stand everywhere.
 COMMON = {"the", "of", "to", "and", "or", "a", "in", "is", "for", "with", "this", "are", "into", "any", "by", "under", "use", "0", "2", "3", "4", "v"}
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-RAREST = 6
 LEAST_SHARE = 0.6
 
 
@@ -70,7 +70,7 @@ def _starts(words: list[str], tag: Column, before: int) -> Column:
     return F.transform(here, lambda h: F.struct((h["pos"] - k - before).alias("start"), tag.alias("tag")))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rarest: int = RAREST, least_share: float = LEAST_SHARE) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_share: float = LEAST_SHARE) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     A null or empty text has no words, no labels and score 0. Repeated rows are scanned each; an empty table gives an
@@ -102,19 +102,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rarest
         weight[t] = weight.get(t, 0.0) + x
     spark = docs.sparkSession
     index = spark.createDataFrame(postings, "w string, t int, tpos long, idf double")
-    info = spark.createDataFrame([(t, notices[t][0], weight[t], sum(p[1] == t for p in postings)) for t in weight], "t int, label string, weight double, n_posts int")
-    values = [F.lit(x) for w, v in sorted(idf.items()) for x in (w, v)]
-    rated = F.create_map(*values) if values else F.create_map().cast("map<string,double>")
-    some = rows.where((F.size("hits") > 0) & (F.size("keys") > 0)).withColumn("idf", rated)
-    by_rarity = F.array_sort(F.array_distinct(F.transform("hits", lambda h: F.struct((-F.col("idf")[h["w"]]).alias("k"), h["w"].alias("w")))))
-    some = some.withColumn("rare", F.transform(F.slice(by_rarity, 1, rarest), lambda x: x["w"]))
-    votes = some.select("rid", "rare", F.explode("hits").alias("h")).select("rid", F.col("h.w").alias("w"), F.col("h.pos").alias("pos"), F.array_contains("rare", F.col("h.w")).cast("int").alias("rare"))
+    info = spark.createDataFrame([(t, notices[t][0], weight[t]) for t in weight], "t int, label string, weight double")
+    some = rows.where((F.size("hits") > 0) & (F.size("keys") > 0)).withColumn("keyed", F.array_distinct(F.transform("keys", lambda k: k["tag"])))
+    votes = some.select("rid", "keyed", F.explode("hits").alias("h")).select("rid", "keyed", F.col("h.w").alias("w"), F.col("h.pos").alias("pos"))
     votes = votes.join(F.broadcast(index), "w")  # the templates' words: a fixed table
-    votes = votes.select("rid", "t", (F.col("pos") - F.col("tpos")).alias("rel"), "idf", "rare", F.lit(0).alias("key"))
-    known = some.select("rid", F.explode("keys").alias("k")).select("rid", F.col("k.tag").alias("t"), F.col("k.start").alias("rel"), F.lit(0.0).alias("idf"), F.lit(0).alias("rare"), F.lit(1).alias("key"))
-    agreed = votes.unionByName(known).groupBy("rid", "t", "rel").agg(F.sum("idf").alias("w"), F.sum("rare").alias("rare"), F.max("key").alias("key"))
+    votes = votes.where(F.array_contains("keyed", F.col("t")))
+    votes = votes.select("rid", "t", (F.col("pos") - F.col("tpos")).alias("rel"), "idf", F.lit(0).alias("key"))
+    known = some.select("rid", F.explode("keys").alias("k")).select("rid", F.col("k.tag").alias("t"), F.col("k.start").alias("rel"), F.lit(0.0).alias("idf"), F.lit(1).alias("key"))
+    agreed = votes.unionByName(known).groupBy("rid", "t", "rel").agg(F.sum("idf").alias("w"), F.max("key").alias("key"))
     agreed = agreed.join(F.broadcast(info), "t").withColumn("share", F.least(F.col("w") / F.col("weight"), F.lit(1.0)))
-    agreed = agreed.where((F.col("key") == 1) & (F.col("rare") >= F.least(F.lit(2), F.col("n_posts"))) & (F.col("share") >= least_share))
+    agreed = agreed.where((F.col("key") == 1) & (F.col("share") >= least_share))
     labels = agreed.groupBy("rid").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
     out = rows.select("rid", "doc_id", "n_words", "base").join(labels, "rid", "left")
     base_labels = F.array_distinct(F.transform("base", lambda b: b["tag"]))

@@ -41,6 +41,21 @@ def test_method_labels(spark):
     assert [found[i]["labels"] for i in range(7)] == ["mit", "apache-2.0", "cc-by,cc-by-nc-4.0", "gpl,gpl-3.0", "bsd", "", ""]
 
 
+def test_rarer_words_of_a_text_hide_no_notice(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."
+    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."
+    prose = "obtaining a binary without modification; the fee, the charge and the documentation, hereby unencumbered, lesser, affero, eclipse, mozilla"
+    lines = {"apache-2.0": "Licensed under the Apache License, Version 2.0", "mit": "Licensed under the MIT license"}
+    texts, want = [mit, isc, prose], ["mit", "isc", ""]
+    for label, line in lines.items():
+        for before, also in ((mit, "mit"), (isc, "isc"), (prose, "")):
+            texts.append(f"{before} {line}.")
+            want.append(",".join(sorted({label, also} - {""})))
+    texts += [lines["apache-2.0"], lines["mit"]] * 20
+    found = by_id(scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    assert [found[i]["labels"] for i in range(len(want))] == want
+
+
 def test_rows_stay_whole(irregular, empty):
     df, rows = irregular
     assert scan(df).count() == len(rows) and scan(empty).count() == 0
