@@ -1,12 +1,14 @@
 """Mixing sources to target weights by a low-discrepancy schedule (DataFrame functions only).
 
 Slot t of the schedule is the golden-ratio point frac(t * phi). Points fall through the cumulative target shares
-of the sources, and the r-th slot of a source takes block r of its token line: its documents in hash order, cut
-into blocks of equally many words, started again once all are used.
+of the sources, and the r-th slot of a source takes block r of its token line: its documents in hash order, started
+again once all are used. A source's target is cut evenly into as many blocks as it has slots (one at least), so each
+source's slots take its target to the word, however small it is and however many words the corpus has.
 
 Scale: words are counted in one scan; all else is narrow rows. No step needs a source in one task: the order
 within a source is built from hash buckets (sums per bucket, then a running sum within the bucket), and slots are
-ranked by chunk of the schedule. The number of slots is a parameter and doesn't grow with the corpus.
+ranked by chunk of the schedule. The number of slots is a parameter and doesn't grow with the corpus; it bounds how
+fine the sources alternate, not how much of each is taken.
 """
 
 from __future__ import annotations
@@ -79,24 +81,32 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     sums = scratch.keep(sums, "sums")
     targets = scratch.keep(source_targets(sums.groupBy("source").agg(F.sum("n").alias("source_size")), weights, most_times), "targets")
+    total = targets.agg(F.sum("source_size")).first()[0] or 0
+    whole = F.least(F.floor(F.col("target") + F.lit(0.5)), F.col("source_size") * most_times)
+    goals = targets.select("ord", whole.cast("long").alias("goal")).where("goal > 0")
+    block = max(1, -(-total // slots))
+    drawn = schedule(targets, -(-total // block), CHUNK).select("ord", "rank")
+    missed = goals.join(drawn.select("ord").distinct(), "ord", "left_anti").select("ord", F.lit(0).cast("long").alias("rank"))
+    drawn = scratch.keep(drawn.unionByName(missed), "drawn")
+    goals = scratch.keep(goals.join(drawn.groupBy("ord").agg(F.count(F.lit(1)).alias("n")), "ord"), "goals")
+    blocks = drawn.join(goals, "ord").select("ord", "rank", F.expr("rank * goal div n").alias("from"), F.expr("(rank + 1) * goal div n").alias("to"))
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("off", F.coalesce(F.sum("n").over(earlier), F.lit(0))).select("source", "bucket", "off")
-    named = targets.select(F.col("source").alias("s"), "ord", "source_size", "target")
-    places = offsets.join(named, F.col("source").eqNullSafe(F.col("s"))).select("source", "bucket", "off", "ord", "source_size", "target")
+    named = targets.join(goals, "ord", "left").select(F.col("source").alias("s"), "ord", "source_size", "target", "goal", "n")
+    places = offsets.join(named, F.col("source").eqNullSafe(F.col("s"))).select("source", "bucket", "off", "ord", "source_size", "target", "goal", F.col("n").alias("n_blocks"))
     places = places.withColumnsRenamed({"source": "ps", "bucket": "pb"})
     placed = rows.join(places, F.col("source").eqNullSafe(F.col("ps")) & (F.col("bucket") == F.col("pb")))
     run = Window.partitionBy("ord", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = placed.withColumn("start", F.col("off") + F.sum("size").over(run) - F.col("size"))
-    placed = scratch.keep(placed.select("doc_id", "ord", "size", "source_size", "target", "start", "text_hash"), "placed")
-    total = targets.agg(F.sum("source_size")).first()[0] or 0
-    block = max(1, -(-total // slots))
-    n_blocks = F.ceil(F.col("source_size") / F.lit(block))
-    slots_used = schedule(targets, -(-total // block), CHUNK).join(targets.select("ord", "source_size"), "ord")
-    times = slots_used.where(F.col("rank") < n_blocks * most_times).groupBy("ord", (F.col("rank") % n_blocks).alias("block")).agg(F.count(F.lit(1)).alias("times"))
-    first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
-    parts = placed.where("size > 0").select("ord", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
-    inside = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
-    taken = parts.join(times, ["ord", "block"]).groupBy("ord", "start", "size").agg(F.sum(inside * F.col("times")).alias("taken"))
+    placed = scratch.keep(placed.select("doc_id", "ord", "size", "source_size", "target", "goal", "n_blocks", "start", "text_hash"), "placed")
+    # A document stands in the endless line once a round; word p of it is in the last block that starts at p or before.
+    rounds = placed.where("size > 0").withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(most_times - 1))))
+    rounds = rounds.withColumn("at", F.col("round") * F.col("source_size") + F.col("start")).where("at < goal")
+    rounds = rounds.withColumn("end", F.least(F.col("at") + F.col("size"), F.col("goal")))
+    first, last = F.expr("((at + 1) * n_blocks - 1) div goal"), F.expr("(end * n_blocks - 1) div goal")
+    parts = rounds.select("ord", "start", "size", "at", "end", F.explode(F.sequence(first, last)).alias("rank"))
+    inside = F.greatest(F.least("end", "to") - F.greatest("at", "from"), F.lit(0))
+    taken = parts.join(blocks, ["ord", "rank"]).groupBy("ord", "start", "size").agg(F.sum(inside).alias("taken"))
     out = placed.join(taken, ["ord", "start", "size"], "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "text_hash")
 

@@ -79,6 +79,19 @@ def test_schedule_is_even_at_every_point(spark):
         assert all(abs(seen[o] - k * p) < 6 for o, p in ((0, 0.5), (1, 0.3), (2, 0.2)))
 
 
+def test_sources_smaller_than_a_block_meet_their_targets(spark):
+    sizes = {"a": 60_000, "b": 235, "c": 40, "d": 7, "e": 1, None: 130}
+    rows = [(k, "w " * n, s) for k, (s, n) in enumerate((s, n) for s, size in sizes.items() for n in [9] * (size // 9) + [size % 9])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = targets(sizes)
+    for slots in (16, 300):
+        taken = defaultdict(int)
+        for r in mix(docs, slots=slots).collect():
+            assert 0 <= r["taken"] <= 3 * r["size"]
+            taken[rows[r["doc_id"]][2]] += r["taken"]
+        assert all(abs(taken[s] - want[s]) <= 1 for s in sizes), (slots, taken, want)
+
+
 def test_rows_stay_whole(irregular, empty):
     df, rows = irregular
     assert mix(df).count() == len(rows) and mix(empty).count() == 0
