@@ -2,8 +2,9 @@
 
 Ordinary words and identifiers are cheap in a trained vocabulary: several characters a token. Random strings are
 not. A run of key-like characters is exposed where its characters per token fall below ``RATIO``, unless it is a
-known digest (hex of a standard digest's length, a UUID) or an identifier (words joined by case, digits at the
-end or separators). Spans are code points, end exclusive. The scan is row-local: no shuffle, one scan.
+known digest (hex of a standard digest's length, a UUID) or an identifier: words joined by case, digits or separators
+that are cheap by themselves. Of a run that isn't exposed as a whole, such as a path of words and a key, the parts
+between separators are tested, alone and with their neighbours. Spans are code points, end exclusive. The scan is row-local: no shuffle, one scan.
 """
 
 from __future__ import annotations
@@ -20,11 +21,15 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ASSIGN_HINT = re.compile(r"passw(?:or)?d|secret|token|api_?key", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: A key-like run; one with no digit is a word, path or identifier to this scan.
+#: A key-like run; one with no letter is a number to this scan.
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})", re.IGNORECASE)
 UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", re.IGNORECASE)
 IDENTIFIER = re.compile(r"(?:[A-Z]?[a-z]{2,}|[A-Z]{2,})(?:[_/=+-]*(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4}))*[_/=+-]*")
+WORDS = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{2,}")
+PART = re.compile(r"[A-Za-z0-9]+")
+#: A part between separators that says nothing of its neighbours: short, or a number of an identifier.
+NEUTRAL = re.compile(r"[A-Za-z0-9]{1,3}|[0-9]{4}")
 RATIO = 2.2
 MIN_CHARS = 20
 
@@ -44,15 +49,55 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def is_random(run: str, encode, ratio: float = RATIO, min_chars: int = MIN_CHARS) -> bool:
-    if len(run) < min_chars or not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run):
+    if len(run) < min_chars or not any(c.isalpha() for c in run):
         return False
-    if DIGEST.fullmatch(run) or UUID.fullmatch(run) or IDENTIFIER.fullmatch(run):
+    if DIGEST.fullmatch(run) or UUID.fullmatch(run) or len(run) >= ratio * len(encode(run)):
         return False
-    return len(run) < ratio * len(encode(run))
+    return not (IDENTIFIER.fullmatch(run) and _cheap(WORDS.findall(run), encode, ratio))
+
+
+def _cheap(words: list[str], encode, ratio: float) -> bool:
+    return sum(map(len, words)) >= ratio * sum(len(encode(w)) for w in words)
+
+
+def _random_parts(run: str, encode, ratio: float, min_chars: int) -> list[tuple[int, int]]:
+    """The exposed parts of a run that isn't exposed as a whole: neighbours that aren't words together, else each alone."""
+    groups: list[list[tuple[int, int]]] = []  # costly parts in a row
+    wide: list[list[int]] = []  # the same with the neutral parts and separators around them
+    open_, lead = False, 0
+    for m in PART.finditer(run):
+        a, b = m.span()
+        if NEUTRAL.fullmatch(run, a, b):
+            continue
+        if _cheap([m[0]], encode, ratio) or (IDENTIFIER.fullmatch(m[0]) and _cheap(WORDS.findall(m[0]), encode, ratio)):
+            if open_:
+                wide[-1][1] = a - 1
+            open_, lead = False, min(b + 1, len(run))
+        elif open_:
+            groups[-1].append((a, b))
+        else:
+            groups.append([(a, b)])
+            wide.append([lead, len(run)])
+            open_ = True
+    found = []
+    for group, around in zip(groups, wide, strict=True):
+        for a, b in ((group[0][0], group[-1][1]), tuple(around)):
+            if is_random(run[a:b], encode, ratio, min_chars):
+                found.append((a, b))
+                break
+        else:
+            found += [p for p in group if is_random(run[slice(*p)], encode, ratio, min_chars)]
+    return found
 
 
 def method_spans(text: str, encode, ratio: float = RATIO, min_chars: int = MIN_CHARS) -> list[tuple[int, int, int]]:
-    return [(m.start(), 3, m.end()) for m in RUN.finditer(text) if is_random(m[0], encode, ratio, min_chars)]
+    found = []
+    for m in RUN.finditer(text):
+        if is_random(m[0], encode, ratio, min_chars):
+            found.append((m.start(), 3, m.end()))
+        elif len(m[0]) > min_chars and not (DIGEST.fullmatch(m[0]) or UUID.fullmatch(m[0])):
+            found += [(m.start() + a, 3, m.start() + b) for a, b in _random_parts(m[0], encode, ratio, min_chars)]
+    return found
 
 
 def load_encode(ranks_path: str):

@@ -1,11 +1,12 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 from llm_data import by_id
 
-from tessera.llm.secret_scan import is_random, load_encode, redact, secret_report
+from tessera.llm.secret_scan import is_random, load_encode, method_spans, redact, secret_report
 
 ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
@@ -39,6 +40,22 @@ def test_random_strings_stand_out():
         assert not is_random(plain, encode)
 
 
+def test_recall_of_random_strings_alone_and_after_a_path():
+    import public_tokenizers
+
+    encode = load_encode(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    lower, digits, path = "abcdefghijklmnopqrstuvwxyz", "0123456789", "/user/download/settings/configuration/"
+    rng = random.Random(3)
+    for letters in (lower + "234567", lower.upper() + "234567", lower + digits, lower, lower + lower.upper(), lower + lower.upper() + digits + "+/"):
+        for size in (20, 32):
+            keys = ["".join(rng.choices(letters, k=size)) for _ in range(300)]
+            assert sum(is_random(k, encode) for k in keys) >= 0.97 * 300, (letters, size)
+            spans = [method_spans(path + k, encode) for k in keys]
+            assert sum(bool(s) and s[0][2] - s[0][0] >= size - 4 for s in spans) >= 0.9 * 300, (letters, size)
+    for plain in ("max_retry_count_12_34_56_78_90_11", "MAX_HTTP_RETRY_2_4_6_8_10_12_14", "/content/2024/01/02/new-features-for-everyone-in-2024", "/user/download/settings/550e8400e29b/configuration"):
+        assert method_spans(plain, encode) == []
+
+
 def test_method_adds_spans_and_redacts(edge, edge_rows):
     report = by_id(secret_report(edge).collect())
     row = next(r for r in edge_rows if r[1] and r[1].startswith("api_key"))
