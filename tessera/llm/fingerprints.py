@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .components import components
 from .scratch import Scratch
 from .shingles import SLICE_BYTES, WIDTH, sequence_hashes, shingle_sets, slices, word_hashes
 
@@ -150,19 +151,20 @@ def fingerprints(docs: DataFrame, perms: int = PERMS, id_col: str = "doc_id", te
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, perms: int = PERMS, band_rows: int = BAND_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, near_id, jaccard): documents verified to be near the smallest id they share a band with.
+    """(doc_id, near_id, jaccard): verified links, near_id the smaller; documents that share a band and are near are connected.
 
-    Within a band bucket each document meets the bucket's smallest id only, so a bucket of n gives n - 1 candidates. An
-    LSH search: pairs that share no band aren't found. Texts without words are near nothing.
+    Each document first meets the smallest id of its band buckets, then the leader by another order. Verified links are
+    contracted after each pass; at last all members of a bucket that are in different components meet, so no pair that
+    shares a band and is near stays in two. Pairs within a component needn't all be listed. An LSH search: pairs that
+    share no band aren't found. Texts without words are near nothing. A bucket of n documents that link to nobody costs
+    its n (n - 1) / 2 pairs.
     """
-    signed = fingerprints(docs, perms, id_col, text_col).where(F.col("signature") != F.lit(bytes([EMPTY] * perms)))
+    scratch = Scratch(docs.sparkSession, "near")
+    signed = fingerprints(docs, perms, id_col, text_col).where(F.col("doc_id").isNotNull() & (F.col("signature") != F.lit(bytes([EMPTY] * perms))))
     size = band_rows
     bands = F.explode(F.array(*(F.struct(F.lit(b).alias("b"), F.substring("signature", b * size + 1, size).alias("v")) for b in range(perms // band_rows))))
-    rows = signed.select("doc_id", bands.alias("band")).select("doc_id", "band.b", "band.v")
-    leaders = rows.groupBy("b", "v").agg(F.min("doc_id").alias("near_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    pairs = rows.join(leaders.hint("merge"), ["b", "v"]).where("doc_id <> near_id").select("doc_id", "near_id").distinct()
+    rows = scratch.keep(signed.select("doc_id", bands.alias("band")).select("doc_id", "band.b", "band.v"), "bands")
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    both = pairs.join(text.withColumnsRenamed({"id": "doc_id", "text": "a"}), "doc_id").join(text.withColumnsRenamed({"id": "near_id", "text": "c"}), "near_id")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,4 +172,26 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, perms: int =
             shared = [(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)) for x, y in zip(shingle_sets(left), shingle_sets(right), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s / max(1, x + y - s) for s, x, y in shared])], ["doc_id", "near_id", "jaccard"])
 
-    return both.select("doc_id", "near_id", "a", "c").mapInArrow(verify, "doc_id long, near_id long, jaccard double").where(F.col("jaccard") >= threshold)
+    def passed(pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """All pairs of a pass and the verified ones."""
+        pairs = scratch.keep(pairs.select(F.greatest("doc_id", "near_id").alias("doc_id"), F.least("doc_id", "near_id").alias("near_id")).distinct(), f"{name}-pairs")
+        both = pairs.join(text.withColumnsRenamed({"id": "doc_id", "text": "a"}), "doc_id").join(text.withColumnsRenamed({"id": "near_id", "text": "c"}), "near_id")
+        found = both.select("doc_id", "near_id", "a", "c").mapInArrow(verify, "doc_id long, near_id long, jaccard double").where(F.col("jaccard") >= threshold)
+        return pairs, scratch.keep(found, f"{name}-links")
+
+    leaders = rows.groupBy("b", "v").agg(F.min("doc_id").alias("near_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    tried, links = passed(rows.join(leaders.hint("merge"), ["b", "v"]).where("doc_id <> near_id"), "first")
+    for name in ("second", "rest"):
+        labels = components(links.select(F.col("doc_id").alias("a"), F.col("near_id").alias("b")), scratch, f"before-{name}")
+        known = rows.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+        mixed = known.groupBy("b", "v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("doc_id", "comp"), F.xxhash64("doc_id")).alias("lead")).where("lo < hi")
+        if name == "second":
+            others = mixed.select("b", "v", F.col("lead.doc_id").alias("near_id"), F.col("lead.comp").alias("near_comp"))
+        else:
+            known = known.join(mixed.select("b", "v"), ["b", "v"], "left_semi")
+            others = known.select("b", "v", F.col("doc_id").alias("near_id"), F.col("comp").alias("near_comp"))
+        pairs = known.join(others.hint("merge"), ["b", "v"]).where("comp <> near_comp" if name == "second" else "comp <> near_comp AND near_id < doc_id")
+        pairs = pairs.select(F.greatest("doc_id", "near_id").alias("doc_id"), F.least("doc_id", "near_id").alias("near_id"))
+        more, found = passed(pairs.join(tried, ["doc_id", "near_id"], "left_anti"), name)
+        tried, links = tried.unionByName(more), links.unionByName(found)
+    return links

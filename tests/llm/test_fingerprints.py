@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import hashlib
+import random
+from itertools import combinations
 
 import numpy as np
 from llm_data import by_id
@@ -71,3 +73,30 @@ def test_near_duplicates_are_verified(edge, edge_rows):
     assert all(abs(r["jaccard"] - jaccard(shingles(texts[r["doc_id"]]), shingles(texts[r["near_id"]]))) < 1e-9 and r["jaccard"] >= 0.75 for r in found)
     copies = [i for i, t in texts.items() if t.startswith("Copy ")]
     assert {r["doc_id"] for r in found if r["near_id"] == min(copies)} >= set(copies) - {min(copies)}
+
+
+def connected(ids, links):
+    label = {i: i for i in ids}
+    for a, b in links:
+        x, y = sorted((label[a], label[b]))
+        label = {i: x if c == y else c for i, c in label.items()}
+    return label
+
+
+def test_near_documents_that_share_a_band_are_connected(spark):
+    rng = random.Random(4)
+    texts = []
+    for _ in range(4):  # copies edited again and again: near their neighbours, less and less near the smallest id
+        words = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+        for _ in range(12):
+            texts.append(" ".join(words))
+            for _ in range(2):
+                words[rng.randrange(100)] = f"w{rng.randrange(10**6)}"
+    perms, rows = 24, 2
+    marks = signatures([t.encode() for t in texts], perms).reshape(len(texts), -1, rows)
+    sets = [shingles(t) for t in texts]
+    near = {(b, a): jaccard(sets[a], sets[b]) for a, b in combinations(range(len(texts)), 2) if (marks[a] == marks[b]).all(axis=1).any()}
+    near = {p: j for p, j in near.items() if j >= 0.75}
+    found = {(r["doc_id"], r["near_id"]): r["jaccard"] for r in near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), perms=perms, band_rows=rows).collect()}
+    assert all(abs(near[p] - j) < 1e-9 for p, j in found.items())
+    assert connected(range(len(texts)), found) == connected(range(len(texts)), near)
