@@ -9,11 +9,12 @@ from .catalog import query, text
 
 # Keys that are null in places, to pin down how each join treats them.
 _LEFT = "(SELECT c_custkey AS a, nullif(c_nationkey, 3) AS k, nullif(c_nationkey % 4, 1) AS k2 FROM customer WHERE c_custkey < 200) AS l"
+_WHOLE = _LEFT.replace(" WHERE c_custkey < 200", "")
 _RIGHT = "(SELECT s_suppkey AS b, nullif(s_nationkey, 5) AS k, nullif(s_nationkey % 4, 2) AS k2 FROM supplier) AS r"
 
 
-def _left(t):
-    return t.customer.where("c_custkey < 200").select(F.col("c_custkey").alias("a"), F.nullif("c_nationkey", F.lit(3)).alias("lk"), F.nullif(F.col("c_nationkey") % 4, F.lit(1)).alias("lk2"))
+def _left(t, whole=False):
+    return t.customer.where("true" if whole else "c_custkey < 200").select(F.col("c_custkey").alias("a"), F.nullif("c_nationkey", F.lit(3)).alias("lk"), F.nullif(F.col("c_nationkey") % 4, F.lit(1)).alias("lk2"))
 
 
 def _right(t):
@@ -24,16 +25,20 @@ _KINDS = {"inner": "JOIN", "left": "LEFT JOIN", "right": "RIGHT JOIN", "full": "
 
 
 def _family(prefix: str, on: str, condition) -> None:
-    """The six join types over one condition."""
-    for kind, words in _KINDS.items():
-        one_sided = kind in ("semi", "anti")
-        sql = f"SELECT a{'' if one_sided else ', b'} FROM {_LEFT} {words} {_RIGHT} ON {on}"
+    """The six join types over one condition, on some customers and (whole_...) on all of them.
 
-        def build(t, kind=kind, one_sided=one_sided):
-            how = f"left_{kind}" if one_sided else kind
-            return _left(t).join(_right(t), condition(), how).select("a", *([] if one_sided else ["b"]))
+    Inequalities on whole tables have no SQL: their results are too large to compare; a fixture holds them to brute force.
+    """
+    for whole in (False, True):
+        for kind, words in _KINDS.items():
+            one_sided = kind in ("semi", "anti")
+            sql = f"SELECT a{'' if one_sided else ', b'} FROM {_WHOLE if whole else _LEFT} {words} {_RIGHT} ON {on}"
 
-        query(f"{prefix}_{kind}", sql)(build)
+            def build(t, whole=whole, kind=kind, one_sided=one_sided):
+                how = f"left_{kind}" if one_sided else kind
+                return _left(t, whole).join(_right(t), condition(), how).select("a", *([] if one_sided else ["b"]))
+
+            query(f"{'whole_' if whole else ''}{prefix}_{kind}", None if whole and prefix == "join_ineq" else sql)(build)
 
 
 _family("join", "l.k = r.k", lambda: F.col("lk") == F.col("rk"))
@@ -52,6 +57,7 @@ def join_orders_lineitem(t):
 text("join_expr_key", "SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_custkey * 10 = s_suppkey + 90")
 text("join_mixed_types", "SELECT n_name, s_suppkey FROM nation JOIN supplier ON CAST(n_nationkey AS BIGINT) = s_nationkey")
 text("join_empty_side", "SELECT c_custkey, s_suppkey FROM customer LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey < 0) AS s ON c_nationkey = s_nationkey WHERE c_custkey <= 50")
+text("whole_join_empty_side", "SELECT c_custkey, s_suppkey FROM customer LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey < 0) AS s ON c_nationkey = s_nationkey")
 text("join_empty_anti", "SELECT c_custkey FROM customer LEFT ANTI JOIN (SELECT * FROM supplier WHERE s_suppkey < 0) AS s ON c_nationkey = s_nationkey", "SELECT c_custkey FROM customer ANTI JOIN (SELECT * FROM supplier WHERE s_suppkey < 0) AS s ON c_nationkey = s_nationkey")
 text("join_cross", "SELECT n_name, r_name FROM nation CROSS JOIN region")
 text("join_any_condition", "SELECT n.n_nationkey AS a, m.n_nationkey AS b FROM nation AS n JOIN nation AS m ON n.n_nationkey < m.n_nationkey AND (n.n_regionkey = m.n_regionkey OR n.n_nationkey + m.n_nationkey = 20)")

@@ -33,6 +33,11 @@ def unnest(t):
     return t.embeddings.where("vec_id < 20").select("vec_id", F.posexplode("embedding").alias("i", "x")).select("vec_id", F.col("i").cast("long").alias("i"), F.col("x").cast("double").alias("x"))
 
 
+@query("whole_unnest", "SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings")
+def whole_unnest(t):
+    return t.embeddings.select("vec_id", F.posexplode("embedding").alias("i", "x")).select("vec_id", F.col("i").cast("long").alias("i"), F.col("x").cast("double").alias("x"))
+
+
 text("unnest_literal", "SELECT n_name, x FROM nation LATERAL VIEW explode(array(n_nationkey, n_regionkey)) AS x", "SELECT n_name, unnest([n_nationkey, n_regionkey]) AS x FROM nation")
 text("unnest_outer_empty", "SELECT c_custkey, x FROM customer LATERAL VIEW explode(CASE WHEN c_nationkey = 3 THEN array() ELSE array(c_nationkey) END) AS x", "SELECT c_custkey, unnest(CASE WHEN c_nationkey = 3 THEN [] ELSE [c_nationkey] END) AS x FROM customer")
 text("json_extract", "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k, get_json_object(props, '$.missing') AS m FROM events", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.missing') AS m FROM events")

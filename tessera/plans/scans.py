@@ -52,6 +52,12 @@ def filter_is_distinct(t):
     return t.orders.where(f.eqNullSafe(F.nullif("o_orderpriority", F.col("o_orderpriority"))) | (~o.eqNullSafe(F.lit("P")) & (F.col("o_orderkey") < 500))).select("o_orderkey")
 
 
+@query("whole_filter_is_distinct", "SELECT o_orderkey FROM orders WHERE nullif(o_orderstatus, 'F') IS NOT DISTINCT FROM nullif(o_orderpriority, o_orderpriority) OR nullif(o_orderstatus, 'O') IS DISTINCT FROM 'P'")
+def whole_filter_is_distinct(t):
+    f, o = F.nullif("o_orderstatus", F.lit("F")), F.nullif("o_orderstatus", F.lit("O"))
+    return t.orders.where(f.eqNullSafe(F.nullif("o_orderpriority", F.col("o_orderpriority"))) | ~o.eqNullSafe(F.lit("P"))).select("o_orderkey")
+
+
 text("filter_three_valued", "SELECT o_orderkey, a AND b AS both_, a OR b AS any_, NOT a AS not_ FROM (SELECT o_orderkey, nullif(o_orderstatus, 'P') = 'F' AS a, nullif(o_orderpriority, '5-LOW') = '1-URGENT' AS b FROM orders) AS x")
 text("filter_is_null", "SELECT count(*) AS n, count(a) AS n_a FROM (SELECT nullif(o_orderstatus, 'P') AS a FROM orders) AS x WHERE a IS NULL OR a IS NOT NULL AND a = 'F'")
 text("filter_range_bounds", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 10 AND l_quantity <= 12 AND NOT (l_linenumber BETWEEN 2 AND 4)")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .catalog import query, text
 
 _A = "SELECT nullif(c_nationkey, 3) AS k FROM customer WHERE c_custkey < 60"
+_ALL = "SELECT nullif(c_nationkey, 3) AS k FROM customer"
 _B = "SELECT nullif(s_nationkey, 5) AS k FROM supplier"
 
 
@@ -23,3 +24,11 @@ text("except", f"{_A} EXCEPT {_B}")
 text("except_all", f"{_A} EXCEPT ALL {_B}")
 text("intersect", f"{_A} INTERSECT {_B}")
 text("intersect_all", f"{_A} INTERSECT ALL {_B}")
+
+# The same over all customers.
+text("whole_union_all", f"{_ALL} UNION ALL {_B}")
+text("whole_union_distinct", f"{_ALL} UNION {_B}")
+text("whole_except", f"{_ALL} EXCEPT {_B}")
+text("whole_except_all", f"{_ALL} EXCEPT ALL {_B}")
+text("whole_intersect", f"{_ALL} INTERSECT {_B}")
+text("whole_intersect_all", f"{_ALL} INTERSECT ALL {_B}")
