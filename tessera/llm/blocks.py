@@ -47,14 +47,19 @@ def by_part(keys: np.ndarray, parts: int) -> np.ndarray:
     return (part << LOW_BITS) | (keys & ((np.uint64(1) << LOW_BITS) - np.uint64(1)))
 
 
-def count_rows(block: int, keys: np.ndarray, parts: int, base: int = 0) -> list[tuple]:
-    """Rows of SENT with the block's counts of its keys (as made by by_part), a row per partition."""
+def count_rows(block: int, keys: np.ndarray, parts: int, base: int = 0, whole: bool = False) -> list[tuple]:
+    """Rows of SENT with the block's counts of its keys, a row per partition.
+
+    Keys are made by by_part, or whole: all 64 bits. Partitions rise with whole keys too, so their sorted order is the same.
+    """
     every, count = np.unique(keys, return_counts=True)
-    edges = np.searchsorted((every >> LOW_BITS).astype(np.int64), np.arange(parts + 1))
+    part = ((every >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32) if whole else every >> LOW_BITS
+    edges = np.searchsorted(part.astype(np.int64), np.arange(parts + 1))
     rows = []
     for p in np.flatnonzero(np.diff(edges)):
         mine = slice(edges[p], edges[p + 1])
-        rows.append((block, base + int(p), int(edges[p + 1] - edges[p]), pack(np.diff(every[mine], prepend=np.uint64(p) << LOW_BITS), count[mine].astype("<u4"))))
+        start = np.uint64(0) if whole else np.uint64(p) << LOW_BITS
+        rows.append((block, base + int(p), int(edges[p + 1] - edges[p]), pack(np.diff(every[mine], prepend=start), count[mine].astype("<u4"))))
     return rows
 
 

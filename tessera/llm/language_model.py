@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import SENT, block_table, by_part, count_rows, sum_rows, sums_in_order
+from .blocks import SENT, block_table, count_rows, sum_rows, sums_in_order
 from .shingles import SLICE_BYTES, sequence_hashes, slices, word_hashes
 
 ORDER = 3
@@ -65,7 +65,7 @@ def _counts(docs: DataFrame, parts: int) -> DataFrame:
     def each(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
         grams = Block([(t or "").encode() for t in table.column("text").to_pylist()])
-        return block_table([row for k in range(ORDER) for row in count_rows(block, by_part(grams.grams(k + 1)[1], parts), parts, k * parts)])
+        return block_table([row for k in range(ORDER) for row in count_rows(block, grams.grams(k + 1)[1], parts, k * parts, whole=True)])
 
     return docs.groupBy("block").applyInArrow(each, SENT)
 
@@ -77,7 +77,7 @@ def _scored(docs: DataFrame, sums: DataFrame, parts: int, n_words: int) -> DataF
         others = []  # for each order, by place: how often the n-gram that starts there stands in other documents
         for order in range(1, ORDER + 1):
             places, keys = grams.grams(order)
-            every, at = np.unique(by_part(keys, parts), return_inverse=True)
+            every, at = np.unique(keys, return_inverse=True)
             total = sums_in_order(sums_table, (order - 1) * parts, order * parts)
             _, own, times = np.unique(grams.doc[places] * max(1, len(every)) + at, return_inverse=True, return_counts=True)
             left = np.zeros(len(grams.words), np.int64)

@@ -44,3 +44,26 @@ def test_edge_rows(edge, edge_rows):
 def test_rows_stay_whole(irregular, empty):
     df, rows = irregular
     assert lm_scores(df).count() == len(rows) and lm_scores(empty).count() == 0
+
+
+def test_words_whose_hashes_agree_in_the_low_bits_are_counted_apart(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from tessera.llm import language_model
+    from tessera.llm.blocks import sum_rows, sums_in_order
+
+    keys = np.array([(1 << 41) + 5, (1 << 42) + 5, (1 << 42) + 5, (1 << 63) + 5], np.uint64)
+    monkeypatch.setattr(language_model.Block, "grams", lambda self, order: (np.arange(4), keys))
+
+    class Docs:
+        def groupBy(self, *_):
+            return self
+
+        def applyInArrow(self, each, _):
+            return each(pa.table({"block": [0], "text": ["a b c d"]}))
+
+    sent = language_model._counts(Docs(), 3)
+    sums = [sum_rows(sent.filter(pc.equal(sent.column("part"), p))) for p in range(3) if p in sent.column("part").to_pylist()]
+    assert sums_in_order(pa.concat_tables(sums), 0, 3).tolist() == [1, 2, 1]
