@@ -1,33 +1,39 @@
 """Quality classifier by co-training on two views of a document.
 
 The text view sees the words and the character classes of the text. The page view sees what a crawler knows of a page
-without its words: language, source, size and layout (lines, their length and how they end). Each is a logistic
-regression. From a labelled seed, each round trains both and lets each label the unlabelled documents that it is
-surest of, in the proportions of the labels, for the other to learn from. Both are then calibrated on labelled
-documents held out from training, and their log odds are added (less the prior's, which both hold) to score.
-
-Scale: the classifier is fitted on the driver on a bounded sample: at most MAX_LABELLED labelled and MAX_UNLABELLED other
-documents, those with the least hash of their id; its features have a fixed size. All documents are scored in one scan
-without a shuffle.
+without reading it: language, source, and how many bytes and lines of what length it has. Each is a logistic regression.
+From a labelled seed, each round trains and calibrates both; each then marks the documents of the whole corpus that it is
+surest of, in the proportions of the labels and only where its calibrated probability is CONFIDENT, and the other learns
+from them. A mark weighs as much as the view that set it is worth: the share of the prior's log loss that it takes away
+on held-out labels. At last both are calibrated on labelled documents held out from training, and their log odds are added (less
+the prior's, which both hold) to score.
+
+Scale: the seed is a bounded sample of labelled rows (MAX_LABELLED, those with the least hash of their id). Pseudo-labels
+come from all other documents: every round scans the corpus, each task keeps the surest of its rows, and what the tasks
+kept is cut to the surest of all in two levels. Models are fitted in one executor task, on 1 row per seed document and
+pseudo-label: at most MAX_LABELLED + 2 * ROUNDS * PER_ROUND, of fixed size. The driver holds ids of these and the weights.
 """
 
 from __future__ import annotations
 
+import logging
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
 from .shingles import SLICE_BYTES, slices, word_hashes
 
 MAX_LABELLED = 4000
-MAX_UNLABELLED = 3000
-ROUNDS = 5
+ROUNDS = 3
 PER_ROUND = 200
+CONFIDENT = 0.98
 THRESHOLD = 0.5
+BUCKETS = 64
 WORD_DIMS = 1024
 HASHED = 64
 _CLASSES = 12
@@ -46,7 +52,8 @@ def _class_table() -> np.ndarray:
 
 _CLASS = _class_table()
 TEXT_DIMS = WORD_DIMS + _CLASSES**3 + 2
-PAGE_DIMS = 2 * HASHED + 8
+SIZE_BINS = 48
+PAGE_DIMS = 2 * HASHED + 3 * SIZE_BINS
 
 
 def _places(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -84,20 +91,21 @@ def text_scores(texts: list[bytes], weights: np.ndarray, bias: float) -> np.ndar
 
 
 def page_features(texts: list[bytes], langs: list, sources: list) -> np.ndarray:
+    """Language, source, and in steps of half a power of two: bytes, lines, bytes of the longest line. (texts, PAGE_DIMS)."""
     out = np.zeros((len(texts), PAGE_DIMS), np.float32)
+    step = lambda n: min(SIZE_BINS - 1, int(2 * np.log2(n + 1)))
     for i, (t, lang, source) in enumerate(zip(texts, langs, sources, strict=True)):
-        out[i, zlib.crc32(f"l:{lang}".encode()) % HASHED] = 1
-        out[i, HASHED + zlib.crc32(f"s:{source}".encode()) % HASHED] = 1
-        lines = t.split(b"\n")
-        n = len(t) + 1
-        out[i, 2 * HASHED :] = (np.log(n), np.log(len(lines)), np.log1p(n / len(lines)), sum(x.endswith((b".", b"?", b'"')) for x in lines) / len(lines), sum(x.endswith(b"!") for x in lines) / len(lines), 1 - len(set(lines)) / len(lines), t.count(b" ") / n, np.log1p(max(map(len, lines))))
+        ends = np.flatnonzero(np.frombuffer(t + b"\n", np.uint8) == 10)
+        sizes = (len(t), len(ends), int(np.diff(ends, prepend=-1).max()))
+        at = [zlib.crc32(f"l:{lang}".encode()) % HASHED, HASHED + zlib.crc32(f"s:{source}".encode()) % HASHED]
+        out[i, [*at, *(2 * HASHED + k * SIZE_BINS + step(n) for k, n in enumerate(sizes))]] = 1
     return out
 
 
 class Logistic:
     """Ridge logistic regression on scaled features, by full-batch accelerated gradient."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 120):
+    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, steps: int = 120):
         self.scale = 1 / np.maximum(x.std(axis=0), 1e-3 * max(1e-6, float(x.std(axis=0).max()))).astype(np.float32)
         self.shift = x.mean(axis=0)
         z = (x - self.shift) * self.scale
@@ -105,9 +113,9 @@ class Logistic:
         rate = 4 / max(1.0, float((z**2).sum(axis=1).mean()) / 8)
         for k in range(steps):
             look_w, look_b = w + k / (k + 3) * (w - v), b + k / (k + 3) * (b - c)
-            error = _sigmoid(z @ look_w.astype(np.float32) + look_b) - y
+            error = (_sigmoid(z @ look_w.astype(np.float32) + look_b) - y) * weight
             v, c = w, b
-            w, b = look_w - rate * (z.T @ error.astype(np.float32) / len(y) + ridge * look_w), look_b - rate * error.mean()
+            w, b = look_w - rate * (z.T @ error.astype(np.float32) / weight.sum() + ridge * look_w), look_b - rate * error.sum() / weight.sum()
         self.weights = w * self.scale
         self.bias = float(b - self.shift @ self.weights)
 
@@ -138,39 +146,46 @@ def _calibrate(odds: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 class CoTrained:
-    """The two views after co-training, calibrated. y: 1 good, 0 bad, -1 unlabelled."""
-
-    def __init__(self, text: np.ndarray, page: np.ndarray, y: np.ndarray, held: np.ndarray, rounds: int = ROUNDS, per_round: int = PER_ROUND):
-        seed = np.flatnonzero((y >= 0) & ~held)
-        pool = np.flatnonzero(y < 0)
-        views = (text, page)
-        rows, marks = [seed, seed], [y[seed], y[seed]]
-        share = float(y[seed].mean())
-        for _ in range(rounds):
-            models = [Logistic(v[r], m) for v, r, m in zip(views, rows, marks, strict=True)]
-            if not len(pool):
-                break
-            taken = []
-            for k in (0, 1):  # each view marks for the other
-                odds = models[k].odds(views[k][pool])
-                order = np.argsort(odds, kind="stable")
-                n = min(per_round, len(pool) // 2)
-                good, bad = order[len(order) - round(n * share) :], order[: n - round(n * share)]
-                rows[1 - k] = np.concatenate([rows[1 - k], pool[good], pool[bad]])
-                marks[1 - k] = np.concatenate([marks[1 - k], np.ones(len(good)), np.zeros(len(bad))])
-                taken.append(np.concatenate([good, bad]))
-            pool = np.delete(pool, np.unique(np.concatenate(taken)))
-        self.models = [Logistic(v[r], m) for v, r, m in zip(views, rows, marks, strict=True)]
-        check = np.flatnonzero((y >= 0) & held)
-        self.scaling = [_calibrate(m.odds(v[check]), y[check]) for m, v in zip(self.models, views, strict=True)]
-        prior = float(y[check].mean())
-        self.prior = float(np.log(prior / (1 - prior)))
+    """Both views after a fit, as numbers that can be sent: linear weights, Platt slopes and offsets, what each is worth; share of good, prior."""
+
+    def __init__(self, weights: list[np.ndarray], bias: list[float], scaling: list[tuple[float, float]], worth: list[float], share: float, prior: float):
+        self.weights, self.bias, self.scaling, self.worth, self.share, self.prior = weights, bias, scaling, worth, share, prior
+
+    def packed(self) -> bytes:
+        return np.concatenate([*self.weights, self.bias, np.ravel(self.scaling), self.worth, [self.share, self.prior]]).astype("<f8").tobytes()
+
+    @classmethod
+    def unpacked(cls, raw: bytes) -> CoTrained:
+        x = np.frombuffer(raw, "<f8")
+        w, rest = x[: TEXT_DIMS + PAGE_DIMS], x[TEXT_DIMS + PAGE_DIMS :]
+        return cls([w[:TEXT_DIMS], w[TEXT_DIMS:]], list(rest[:2]), [(rest[2], rest[3]), (rest[4], rest[5])], list(rest[6:8]), float(rest[8]), float(rest[9]))
+
+    def odds(self, texts: list[bytes], langs: list, sources: list) -> list[np.ndarray]:
+        """Calibrated log odds of both views."""
+        found = (text_scores(texts, self.weights[0], self.bias[0]), page_features(texts, langs, sources) @ self.weights[1] + self.bias[1])
+        return [a * x + b for (a, b), x in zip(self.scaling, found, strict=True)]
 
     def scores(self, texts: list[bytes], langs: list, sources: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        text = text_scores(texts, self.models[0].weights, self.models[0].bias)
-        page = self.models[1].odds(page_features(texts, langs, sources))
-        odds = [a * x + b for (a, b), x in zip(self.scaling, (text, page), strict=True)]
-        return _sigmoid(odds[0]), _sigmoid(odds[1]), _sigmoid(odds[0] + odds[1] - self.prior)
+        one, two = self.odds(texts, langs, sources)
+        return _sigmoid(one), _sigmoid(two), _sigmoid(one + two - self.prior)
+
+
+def fit_views(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, of: np.ndarray, weight: np.ndarray, held: np.ndarray) -> CoTrained | None:
+    """Rows with of = -1 are labelled, with 0 or 1 marked for that view alone. None where a class is lacking."""
+    if any(not ((of < 0) & (y == k) & h).any() for k in (0, 1) for h in (held, ~held)):
+        return None
+    check = (of < 0) & held
+    prior = float(y[check].mean())
+    models, scaling, worth = [], [], []
+    for k, view in enumerate(views):
+        mine = np.flatnonzero(((of < 0) & ~held) | (of == k))
+        models.append(Logistic(view[mine], y[mine], weight[mine]))
+        odds = models[-1].odds(view[check])
+        scaling.append(_calibrate(odds, y[check]))
+        sure = _sigmoid(scaling[-1][0] * odds + scaling[-1][1])
+        loss, blind = (-float(np.mean(np.where(y[check] > 0, np.log(p), np.log1p(-p)))) for p in (np.clip(sure, 1e-12, 1 - 1e-12), prior))
+        worth.append(max(0.0, 1 - loss / blind))
+    return CoTrained([m.weights for m in models], [m.bias for m in models], scaling, worth, float(y[(of < 0) & ~held].mean()), float(np.log(prior / (1 - prior))))
 
 
 def _columns(docs: DataFrame, id_col: str, text_col: str) -> list:
@@ -183,38 +198,107 @@ def _raw(column: pa.Array) -> list[bytes]:
     return [(t or "").encode() for t in column.to_pylist()]
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = MAX_LABELLED, max_unlabelled: int = MAX_UNLABELLED) -> CoTrained | None:
-    """The classifier, or None where the labels of the sample lack a class. Null labels and ids are skipped.
+ROWS = "of int, y int, weight double, doc_id long, at binary, value binary"
+_ROW_NAMES = [f.split()[0] for f in ROWS.split(", ")]
+
+
+def _sparse(texts: list[bytes], langs: list, sources: list) -> tuple[list[bytes], list[bytes]]:
+    rows = np.concatenate([text_features(texts), page_features(texts, langs, sources)], axis=1) if texts else np.zeros((0, 1), np.float32)
+    some = [np.flatnonzero(r).astype("<i4") for r in rows]
+    return [i.tobytes() for i in some], [r[i].astype("<f4").tobytes() for r, i in zip(rows, some, strict=True)]
+
 
-    Of several labels of one id the least counts. Ids are sampled by hash, so that a rerun fits the same classifier.
+def _fitted(rows: DataFrame) -> CoTrained | None:
+    """The views fitted to ROWS in one task; they are bounded (see the module). Results don't depend on the rows' order."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        found.sort(key=lambda r: (r[0], zlib.crc32(str(r[3]).encode()), *r[1:]))
+        of, y, weight = (np.array([r[k] for r in found], kind) for k, kind in enumerate((int, int, float)))
+        x = np.zeros((len(found), TEXT_DIMS + PAGE_DIMS), np.float32)
+        for i, r in enumerate(found):
+            x[i, np.frombuffer(r[4], "<i4")] = np.frombuffer(r[5], "<f4")
+        model = fit_views((x[:, :TEXT_DIMS], x[:, TEXT_DIMS:]), y, of, weight, np.arange(len(y)) % 4 == 0)
+        if model:
+            yield pa.RecordBatch.from_arrays([pa.array([model.packed()], pa.binary())], ["model"])
+
+    made = rows.select(*_ROW_NAMES).coalesce(1).mapInArrow(each, "model binary").collect()
+    return CoTrained.unpacked(bytes(made[0][0])) if made else None
+
+
+def _surest(rows: DataFrame, model: CoTrained, known: np.ndarray, per_round: int, confident: float) -> DataFrame:
+    """ROWS of the documents outside known that each view is surest of, marked for the other view."""
+    n_good = round(per_round * model.share)
+    take = {(k, y): n for k in (0, 1) for y, n in ((1, n_good), (0, per_round - n_good))}
+    edge = float(np.log(confident / (1 - confident)))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple[int, int], list[tuple]] = {key: [] for key in take}
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            free = np.flatnonzero(~np.isin(ids, known) & ~np.asarray(batch.column(0).is_null()))
+            if not len(free):
+                continue
+            batch = batch.take(pa.array(free))
+            ids, texts, langs, sources = batch.column(0).to_pylist(), _raw(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            odds = model.odds(texts, langs, sources)
+            for (k, y), n in take.items():
+                sure = odds[k] if y else -odds[k]
+                mine = np.flatnonzero(sure >= edge)
+                if len(best[k, y]) == n and n:
+                    mine = mine[sure[mine] >= best[k, y][-1][0]]
+                mine = sorted(mine, key=lambda i: (-sure[i], ids[i]))[:n]
+                packed = zip(*_sparse([texts[i] for i in mine], [langs[i] for i in mine], [sources[i] for i in mine]), strict=True)
+                best[k, y] = sorted([*best[k, y], *((float(sure[i]), ids[i], *p) for i, p in zip(mine, packed, strict=True))], key=lambda r: (-r[0], *r[1:]))[:n]
+        out = [(1 - k, y, model.worth[k], doc_id, at, value, sure) for (k, y), found in best.items() for sure, doc_id, at, value in found]
+        cols = list(zip(*out, strict=True)) or [[]] * 7
+        kinds = (pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.binary(), pa.binary(), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [*_ROW_NAMES, "sure"])
+
+    found = rows.mapInArrow(each, f"{ROWS}, sure double").withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)))
+    limit = F.when(F.col("y") == 1, n_good).otherwise(per_round - n_good)
+    for keys in (["of", "y", "bucket"], ["of", "y"]):  # BUCKETS groups first, so that the last ones have few rows
+        order = Window.partitionBy(*keys).orderBy(F.col("sure").desc(), "doc_id", "at", "value")
+        found = found.withColumn("k", F.row_number().over(order)).where(F.col("k") <= limit)
+    return found.select(*_ROW_NAMES)
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS, per_round: int = PER_ROUND, confident: float = CONFIDENT) -> CoTrained | None:
+    """The classifier, or None (and a warning in the log) where the labels of the sample lack a class.
+
+    Null labels and ids are skipped. Of several labels of one id the least counts, of several rows of one id the one with
+    the least features. Ids are sampled by hash and ties are broken by id, so that a rerun fits the same classifier.
     """
+    scratch = Scratch(docs.sparkSession, "quality")
+    rows = docs.select(*_columns(docs, id_col, text_col))
     marked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.min(label_col).cast("int").alias("y"))
-    ids = docs.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id IS NOT NULL")
-    known = marked.join(ids.distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    other = ids.distinct().join(marked, "doc_id", "left_anti").withColumn("y", F.lit(-1)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_unlabelled)
-    sample = known.unionByName(other)
+    sample = marked.join(rows.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = _raw(batch.column(1))
-            rows = np.concatenate([text_features(texts), page_features(texts, batch.column(2).to_pylist(), batch.column(3).to_pylist())], axis=1)
-            some = [np.flatnonzero(r).astype("<i4") for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(4), pa.array([i.tobytes() for i in some], pa.binary()), pa.array([r[i].astype("<f4").tobytes() for r, i in zip(rows, some, strict=True)], pa.binary())], ["doc_id", "y", "at", "value"])
-
-    # The sample is bounded by its two parameters: safe to broadcast, and its features (a fixed size each) to collect.
-    chosen = docs.select(*_columns(docs, id_col, text_col)).join(F.broadcast(sample), "doc_id")
-    found = sorted(chosen.mapInArrow(features, "doc_id long, y int, at binary, value binary").collect(), key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], bytes(r[2]), bytes(r[3])))
-    y = np.array([r[1] for r in found])
-    held = np.arange(len(y)) % 4 == 0
-    if any(not ((y == k) & h).any() for k in (0, 1) for h in (held, ~held)):
+            at, value = _sparse(_raw(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([-1] * batch.num_rows, pa.int32()), batch.column(4), pa.array([1.0] * batch.num_rows), batch.column(0), pa.array(at, pa.binary()), pa.array(value, pa.binary())], _ROW_NAMES)
+
+    # The sample is bounded by its parameter: safe to broadcast. One row of an id stays, however often it stands.
+    chosen = rows.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "lang", "source", "y").mapInArrow(features, ROWS)
+    one = chosen.groupBy("of", "y", "weight", "doc_id").agg(F.min(F.struct("at", "value")).alias("x")).select("of", "y", "weight", "doc_id", "x.at", "x.value")
+    seen = scratch.keep(one, "labelled")
+    model = _fitted(seen)
+    if model is None:
+        logging.getLogger(__name__).warning("the labels lack a class: no quality classifier, every document scores 1")
         return None
-    x = np.zeros((len(found), TEXT_DIMS + PAGE_DIMS), np.float32)
-    for i, r in enumerate(found):
-        x[i, np.frombuffer(r[2], "<i4")] = np.frombuffer(r[3], "<f4")
-    return CoTrained(x[:, :TEXT_DIMS], x[:, TEXT_DIMS:], y, held)
+    for k in range(rounds):
+        known = np.array([r[0] for r in seen.select("doc_id").distinct().collect()], np.int64)  # bounded, see the module
+        more = scratch.keep(_surest(rows, model, known, per_round, confident), f"marks{k}")
+        if more.isEmpty():
+            break
+        seen = seen.unionByName(more)
+        model = _fitted(seen)
+    scratch.drop("labelled", *(f"marks{i}" for i in range(rounds)))
+    return model
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, **sizes: int) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, **sizes: float) -> DataFrame:
     """One row per document: doc_id, p_text, p_page, score (the probability that it is good), keep.
 
     A null text counts as empty. Without a fit (see fit) every score is 1 and every document stays. Repeated rows are scored
@@ -231,8 +315,12 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return docs.select(*_columns(docs, id_col, text_col)).mapInArrow(each, "doc_id long, p_text double, p_page double, score double, keep boolean")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, **sizes: int) -> DataFrame:
-    """The documents that score keeps, with their own columns, in the same scan."""
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, **sizes: float) -> DataFrame:
+    """The documents that score keeps, with their own columns, in the same scan.
+
+    A null text counts as empty and is judged like any other; repeated rows and rows with a null id stay or go each by its
+    own text; without a fit (see fit) all documents stay; an empty table gives an empty one.
+    """
     model = fit(docs, labels, id_col, text_col, **sizes)
     if model is None:
         return docs
