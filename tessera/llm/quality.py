@@ -19,6 +19,7 @@ from __future__ import annotations
 import logging
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -226,41 +227,49 @@ def _fitted(rows: DataFrame) -> CoTrained | None:
     return CoTrained.unpacked(bytes(made[0][0])) if made else None
 
 
-def _surest(rows: DataFrame, model: CoTrained, known: np.ndarray, per_round: int, confident: float) -> DataFrame:
-    """ROWS of the documents outside known that each view is surest of, marked for the other view."""
+def _surest(rows: DataFrame, model: CoTrained, known: np.ndarray, per_round: int, confident: float, scratch: Scratch, name: str) -> DataFrame:
+    """(doc_id, of, y, weight): the documents outside known that each view is surest of, marked for the other view."""
     n_good = round(per_round * model.share)
     take = {(k, y): n for k in (0, 1) for y, n in ((1, n_good), (0, per_round - n_good))}
     edge = float(np.log(confident / (1 - confident)))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[tuple[int, int], list[tuple]] = {key: [] for key in take}
+        best: dict[tuple[int, int], list[tuple[float, int]]] = {key: [] for key in take}
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            free = np.flatnonzero(~np.isin(ids, known) & ~np.asarray(batch.column(0).is_null()))
-            if not len(free):
-                continue
-            batch = batch.take(pa.array(free))
-            ids, texts, langs, sources = batch.column(0).to_pylist(), _raw(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            odds = model.odds(texts, langs, sources)
+            free = ~np.isin(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), known) & ~np.asarray(batch.column(0).is_null())
+            batch = batch.filter(pa.array(free))
+            ids = batch.column(0).to_pylist()
+            odds = model.odds(_raw(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist())
             for (k, y), n in take.items():
                 sure = odds[k] if y else -odds[k]
-                mine = np.flatnonzero(sure >= edge)
-                if len(best[k, y]) == n and n:
-                    mine = mine[sure[mine] >= best[k, y][-1][0]]
-                mine = sorted(mine, key=lambda i: (-sure[i], ids[i]))[:n]
-                packed = zip(*_sparse([texts[i] for i in mine], [langs[i] for i in mine], [sources[i] for i in mine]), strict=True)
-                best[k, y] = sorted([*best[k, y], *((float(sure[i]), ids[i], *p) for i, p in zip(mine, packed, strict=True))], key=lambda r: (-r[0], *r[1:]))[:n]
-        out = [(1 - k, y, model.worth[k], doc_id, at, value, sure) for (k, y), found in best.items() for sure, doc_id, at, value in found]
-        cols = list(zip(*out, strict=True)) or [[]] * 7
-        kinds = (pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.binary(), pa.binary(), pa.float64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [*_ROW_NAMES, "sure"])
-
-    found = rows.mapInArrow(each, f"{ROWS}, sure double").withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)))
+                best[k, y] = sorted({*best[k, y], *((-float(sure[i]), ids[i]) for i in np.flatnonzero(sure >= edge))})[:n]
+        out = [(doc_id, 1 - k, y, model.worth[k], -less) for (k, y), found in best.items() for less, doc_id in found]
+        cols = list(zip(*out, strict=True)) or [[]] * 5
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "of", "y", "weight", "sure"])
+
+    found = rows.mapInArrow(each, "doc_id long, of int, y int, weight double, sure double")
+    found = found.groupBy("doc_id", "of", "y", "weight").agg(F.max("sure").alias("sure")).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)))
     limit = F.when(F.col("y") == 1, n_good).otherwise(per_round - n_good)
-    for keys in (["of", "y", "bucket"], ["of", "y"]):  # BUCKETS groups first, so that the last ones have few rows
-        order = Window.partitionBy(*keys).orderBy(F.col("sure").desc(), "doc_id", "at", "value")
-        found = found.withColumn("k", F.row_number().over(order)).where(F.col("k") <= limit)
-    return found.select(*_ROW_NAMES)
+    order = F.col("sure").desc(), F.col("doc_id")
+    # The surest of each bucket first: BUCKETS * per_round rows at most are left to merge, however many tasks there were.
+    best = found.withColumn("k", F.row_number().over(Window.partitionBy("of", "y", "bucket").orderBy(*order))).where(F.col("k") <= limit)
+    best = scratch.keep(best, f"{name}-best")
+    tops = [best.where((F.col("of") == 1 - k) & (F.col("y") == y)).orderBy(*order).limit(n) for (k, y), n in take.items()]
+    return scratch.keep(reduce(DataFrame.unionByName, tops).select("doc_id", "of", "y", "weight"), name)
+
+
+def _featured(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """ROWS of the chosen (doc_id, of, y, weight): bounded (see the module), so safe to broadcast. Of repeated ids one row stays."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, value = _sparse(_raw(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (4, 5, 6, 0)), pa.array(at, pa.binary()), pa.array(value, pa.binary())], _ROW_NAMES)
+
+    made = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "lang", "source", "of", "y", "weight").mapInArrow(each, ROWS)
+    one = made.groupBy("of", "y", "weight", "doc_id").agg(F.min(F.struct("at", "value")).alias("x"))
+    return one.select("of", "y", "weight", "doc_id", "x.at", "x.value")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS, per_round: int = PER_ROUND, confident: float = CONFIDENT) -> CoTrained | None:
@@ -273,28 +282,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(*_columns(docs, id_col, text_col))
     marked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.min(label_col).cast("int").alias("y"))
     sample = marked.join(rows.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, value = _sparse(_raw(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array([-1] * batch.num_rows, pa.int32()), batch.column(4), pa.array([1.0] * batch.num_rows), batch.column(0), pa.array(at, pa.binary()), pa.array(value, pa.binary())], _ROW_NAMES)
-
-    # The sample is bounded by its parameter: safe to broadcast. One row of an id stays, however often it stands.
-    chosen = rows.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "lang", "source", "y").mapInArrow(features, ROWS)
-    one = chosen.groupBy("of", "y", "weight", "doc_id").agg(F.min(F.struct("at", "value")).alias("x")).select("of", "y", "weight", "doc_id", "x.at", "x.value")
-    seen = scratch.keep(one, "labelled")
+    sample = sample.select("doc_id", F.lit(-1).alias("of"), "y", F.lit(1.0).alias("weight"))
+    seen = scratch.keep(_featured(rows, sample), "labelled")
     model = _fitted(seen)
     if model is None:
         logging.getLogger(__name__).warning("the labels lack a class: no quality classifier, every document scores 1")
         return None
     for k in range(rounds):
         known = np.array([r[0] for r in seen.select("doc_id").distinct().collect()], np.int64)  # bounded, see the module
-        more = scratch.keep(_surest(rows, model, known, per_round, confident), f"marks{k}")
-        if more.isEmpty():
+        chosen = _surest(rows, model, known, per_round, confident, scratch, f"chosen{k}")
+        if chosen.isEmpty():
             break
-        seen = seen.unionByName(more)
+        seen = seen.unionByName(scratch.keep(_featured(rows, chosen), f"marks{k}"))
         model = _fitted(seen)
-    scratch.drop("labelled", *(f"marks{i}" for i in range(rounds)))
+    scratch.drop("labelled", *(f"{name}{i}" for i in range(rounds) for name in ("chosen", "marks")), *(f"chosen{i}-best" for i in range(rounds)))
     return model
 
 
