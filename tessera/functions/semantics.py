@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
+from .regexps import every_match, first_match
+
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -44,20 +46,12 @@ def concat_ignore_null(*cols: Column | str) -> Column:
 
 def regexp_replace_first(c: Column | str, pattern: str, replacement: str) -> Column:
     r"""Replaces the first match alone; \1 in the replacement is the pattern's first group."""
-    rest = "".join(f"${int(part[0]) + 1}{part[1:]}" if k and part[:1].isdigit() else part for k, part in enumerate(replacement.split("\\")))
-    groups = _groups(pattern)
-    return F.regexp_replace(_col(c), rf"(?s)^(.*?){pattern}(.*)$", f"$1{rest}${groups + 2}")
+    whole, put = first_match(pattern, replacement)
+    return F.regexp_replace(_col(c), whole, put)
 
 
 def regexp_replace_all(c: Column | str, pattern: str, replacement: str) -> Column:
-    rest = "".join(f"${part}" if k and part[:1].isdigit() else part for k, part in enumerate(replacement.split("\\")))
-    return F.regexp_replace(_col(c), pattern, rest)
-
-
-def _groups(pattern: str) -> int:
-    import re
-
-    return re.compile(pattern).groups
+    return F.regexp_replace(_col(c), pattern, every_match(replacement))
 
 
 def cast_int_round(c: Column | str, kind: str = "long", decimal: bool = False) -> Column:

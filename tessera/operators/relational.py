@@ -5,34 +5,76 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 
-def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, columns: list[str], how: str = "left") -> DataFrame:
-    """Each left row with the latest right row of its keys at or before its time: columns of it, null if there is none.
+SPLITS = 64
+CELLS = 16
 
-    Both sides are sorted once, by key and time, and the last right row is carried forward: no pair of rows is ever built
-    but the result's. Null keys or times match nothing. Of right rows with one time any one counts.
+
+def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, columns: list[str], how: str = "left", op: str = ">=", splits: int = SPLITS) -> DataFrame:
+    """Each left row with the nearest right row of its keys whose time meets left_time op right_time: columns of it, else null.
+
+    op is >= or > (the latest right row), <= or < (the earliest). Null keys or times match nothing. Of right rows with one
+    time any one counts. Both sides are sorted by key and time within ranges of time, cut at the quantiles of all times, so
+    that one hot key, or no key at all, is the work of as many tasks as there are ranges; the last right row of each key and
+    range is carried into the ranges after it. No pair of rows is ever built but the result's.
     """
-    tag, held, at = "__right", "__held", "__at"
-    # A right row with a null key or time can't match; a left one keeps a group of its own, without right rows.
-    r = right.where(F.col(right_time).isNotNull()).dropna(subset=by)
-    r = r.select(*by, F.col(right_time).alias(at), F.lit(0).alias(tag), F.struct(*columns).alias(held), F.lit(None).cast(left.select(F.struct("*")).schema[0].dataType).alias("__left"))
-    le = left.select(*by, F.col(left_time).alias(at), F.lit(1).alias(tag), F.lit(None).cast(r.schema[held].dataType).alias(held), F.struct("*").alias("__left"))
-    order = Window.partitionBy(*by).orderBy(F.col(at).asc_nulls_first(), tag).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = le.unionByName(r).withColumn(held, F.last(held, ignorenulls=True).over(order)).where(F.col(tag) == 1)
+    if op not in (">=", ">", "<=", "<"):
+        raise ValueError(f"as-of joins compare by >=, >, <= or <, not {op}")
+    tag, held, at, cell, row = "__right", "__held", "__at", "__cell", "__left"
+    up = op[0] == ">"
+    keys = [f"__by{i}" for i in range(len(by))]
+    named = [F.col(c).alias(k) for c, k in zip(by, keys, strict=True)]
+    strict = len(op) == 1
+    r = right.where(F.col(right_time).isNotNull()).dropna(subset=by) if by else right.where(F.col(right_time).isNotNull())
+    r = r.select(*named, F.col(right_time).alias(at), F.lit(int(strict)).alias(tag), F.struct(*columns).alias(held), F.lit(None).cast(left.select(F.struct("*")).schema[0].dataType).alias(row))
+    le = left.select(*named, F.col(left_time).alias(at), F.lit(int(not strict)).alias(tag), F.lit(None).cast(r.schema[held].dataType).alias(held), F.struct("*").alias(row))
+    both = le.unionByName(r)
+    cuts = _cuts(both.select(at), at, splits)
+    n_before = F.lit(0)
+    for c in cuts:
+        n_before = n_before + F.when(F.col(at) >= F.lit(c), 1).otherwise(0)
+    both = both.withColumn(cell, n_before if up else -n_before)
+    towards = F.col(at).asc_nulls_first() if up else F.col(at).desc_nulls_first()
+    within = Window.partitionBy(*keys, cell).orderBy(towards, tag).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn(held, F.last(held, ignorenulls=True).over(within)).where(F.col(row).isNotNull())
+    ends = both.where(F.col(held).isNotNull()).groupBy(*keys, cell).agg((F.max_by if up else F.min_by)(held, at).alias("__end"))
+    cells = both.select(*keys, cell).distinct().join(ends, [*keys, cell], "left") if by else both.select(cell).distinct().join(ends, cell, "left")
+    # A row per key and range: what comes into the range from those before it.
+    earlier = Window.partitionBy(*keys).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    carried = cells.withColumn("__in", F.last("__end", ignorenulls=True).over(earlier)).where(F.col("__in").isNotNull()).select(*keys, cell, "__in")
+    found = found.join(carried, [*keys, cell], "left").withColumn(held, F.when(F.col(at).isNotNull(), F.coalesce(held, "__in")))
     if how == "inner":
         found = found.where(F.col(held).isNotNull())
-    return found.select("__left.*", *(F.col(f"{held}.{c}").alias(c) for c in columns))
+    return found.select(f"{row}.*", *(F.col(f"{held}.{c}").alias(c) for c in columns))
+
+
+def _cuts(times: DataFrame, at: str, splits: int) -> list:
+    """Approximate quantiles of a column of times or numbers, at most splits - 1; none for other types."""
+    kind = times.schema[0].dataType.typeName()
+    if splits < 2 or kind not in ("date", "timestamp", "timestamp_ntz", "byte", "short", "integer", "long", "float", "double", "decimal"):
+        return []
+    found = times.agg(F.percentile_approx(at, [k / splits for k in range(1, splits)], 1000).alias("q")).first()["q"]
+    return sorted(set(found or []))
 
 
 def range_join(left: DataFrame, right: DataFrame, point: str, low: str, high: str, width: float, by: list[str] | None = None) -> DataFrame:
-    """Left rows whose point lies in [low, high) of right rows: an equi-join on cells of the given width, then the test.
+    """Left rows whose point lies in [low, high) of right rows: equi-joins on cells, then the test.
 
-    A right row is copied to each cell it covers, so width should be about the usual length of a range.
+    Cells come in levels, each CELLS times as wide as the one before, from width on. A range goes to the level where it covers
+    at most CELLS + 1 cells, so it is copied that often however long it is; a point is looked up once on each level in use.
     """
-    cell = "__cell"
-    le = left.withColumn(cell, F.floor(F.col(point) / width))
-    r = right.where(F.col(low) < F.col(high)).withColumn(cell, F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
-    return le.join(r, [cell, *(by or [])]).where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop(cell)
+    cell, level = "__cell", "__level"
+    keys = by or []
+    r = right.where(F.col(low) < F.col(high))
+    span = (F.col(high) - F.col(low)).cast("double")
+    r = r.withColumn(level, F.greatest(F.lit(0), F.ceil(F.log(span / width) / F.log(F.lit(float(CELLS))) - 1e-9) - 1).cast("int"))
+    wide = F.lit(float(width)) * F.pow(F.lit(float(CELLS)), F.col(level))
+    r = r.withColumn(cell, F.explode(F.sequence(F.floor(F.col(low) / wide), F.floor(F.col(high) / wide))))
+    levels = sorted(x[0] for x in right.where(F.col(low) < F.col(high)).select(F.greatest(F.lit(0), F.ceil(F.log(span / width) / F.log(F.lit(float(CELLS))) - 1e-9) - 1).cast("int").alias(level)).distinct().collect())  # one row per power of CELLS
+    places = F.array(*(F.struct(F.lit(k).alias(level), F.floor(F.col(point) / (width * float(CELLS) ** k)).alias(cell)) for k in levels)) if levels else F.array().cast(f"array<struct<{level}:int,{cell}:bigint>>")
+    le = left.select("*", F.inline(places))
+    return le.join(r, [level, cell, *keys]).where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop(cell, level)
 
 
 def positional_join(left: DataFrame, right: DataFrame, left_order: list[Column | str], right_order: list[Column | str]) -> DataFrame:
@@ -45,10 +87,13 @@ def with_row_number(df: DataFrame, order: list[Column | str], name: str) -> Data
     """Numbers rows from 1 in a global order, without bringing them to one task.
 
     A range-partitioned sort keeps its order in partition ids; rows are numbered within partitions, whose sizes (one row
-    each) are summed up.
+    each) are summed up. The numbered rows are written to the shared folder first: a task that runs again could cut or order
+    ties otherwise. Without an order rows are numbered as they lie in df's partitions.
     """
-    ranged = df.repartitionByRange(df.sparkSession.sparkContext.defaultParallelism, *order).sortWithinPartitions(*order)
-    ranged = ranged.withColumn("__id", F.monotonically_increasing_id()).withColumn("__p", F.shiftright("__id", 33)).persist()
+    spark = df.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(tasks, *order).sortWithinPartitions(*order) if order else df
+    ranged, _ = written(ranged.withColumn("__id", F.monotonically_increasing_id()).withColumn("__p", F.shiftright("__id", 33)), "ordered")
     sizes = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
@@ -57,9 +102,39 @@ def with_row_number(df: DataFrame, order: list[Column | str], name: str) -> Data
 
 
 def limit_percent(df: DataFrame, percent: float, order: list[Column | str]) -> DataFrame:
-    """The first percent % of rows in an order, rounded down."""
-    n = int(df.count() * percent / 100)
-    return df.orderBy(*order).limit(n)
+    """The first percent % of rows in an order, rounded down. Rows are numbered, not merged in one place."""
+    numbered = with_row_number(df, order, "__rn")
+    total = numbered.agg(F.count(F.lit(1))).first()[0]
+    return numbered.where(F.col("__rn") <= int(total * percent / 100)).orderBy("__rn").drop("__rn")
+
+
+def groups_frame(df: DataFrame, value: Column, name: str, by: list[str], order: list[Column | str], start: int, end: int) -> DataFrame:
+    """value (an aggregate) OVER (PARTITION BY by ORDER BY order GROUPS BETWEEN start AND end), negative for PRECEDING.
+
+    Peers share a dense rank, and a RANGE frame over ranks counts groups of peers.
+    """
+    ranked = df.withColumn("__group", F.dense_rank().over(Window.partitionBy(*by).orderBy(*order)))
+    frame = Window.partitionBy(*by).orderBy("__group").rangeBetween(start, end)
+    return ranked.withColumn(name, value.over(frame)).drop("__group")
+
+
+def exclude_frame(df: DataFrame, column: str, name: str, window, what: str = "current", order: list[Column | str] | None = None) -> DataFrame:
+    """sum(column) over a window that contains the current row, with EXCLUDE CURRENT ROW, GROUP or TIES.
+
+    The excluded rows' sum is subtracted: the row itself, or its peers within whole partitions (window must then be an
+    unbounded one over the same keys). Null where nothing is left.
+    """
+    if what not in ("current", "group", "ties"):
+        raise ValueError(f"EXCLUDE {what}")
+    peers = order if what != "current" else None
+    total, n = F.sum(column).over(window), F.count(column).over(window)
+    own, one = F.coalesce(F.col(column), F.lit(0)), F.col(column).isNotNull().cast("int")
+    if peers is not None:
+        own, one = F.coalesce(F.sum(column).over(Window.partitionBy(*peers)), F.lit(0)), F.count(column).over(Window.partitionBy(*peers))
+    left, many = total - own, n - one
+    if what == "ties":
+        left, many = left + F.coalesce(F.col(column), F.lit(0)), many + F.col(column).isNotNull().cast("int")
+    return df.withColumn(name, F.when(many > 0, left))
 
 
 def distinct_on(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
@@ -84,6 +159,21 @@ def mark_join(left: DataFrame, right: DataFrame, on: tuple[str, str], name: str
     return joined.withColumn(name, mark.cast("boolean")).drop("__k", "__hit", "__n", "__null")
 
 
+def mark_join_less(left: DataFrame, right: DataFrame, on: tuple[str, str], op: str = "<", name: str = "mark") -> DataFrame:
+    """left with a column: whether key op ANY (right keys), for <, <=, >, >=, by three-valued logic.
+
+    Any right key that is greater is as good as the greatest, so one row of facts decides: no pair of rows is compared.
+    """
+    key, other = on
+    best = F.max(other) if op[0] == "<" else F.min(other)
+    facts = right.agg(F.count(F.lit(1)).alias("__n"), F.max(F.col(other).isNull()).alias("__null"), best.alias("__best"))
+    k = F.col(key)
+    hit = {"<": k < F.col("__best"), "<=": k <= F.col("__best"), ">": k > F.col("__best"), ">=": k >= F.col("__best")}[op]
+    joined = left.crossJoin(F.broadcast(facts))  # one row of facts
+    mark = F.when(F.col("__n") == 0, False).when(hit, True).when(k.isNull() | F.coalesce("__null", F.lit(False)), None).otherwise(False)
+    return joined.withColumn(name, mark.cast("boolean")).drop("__n", "__null", "__best")
+
+
 def salted_join(big: DataFrame, small: DataFrame, on: list[str], salts: int, how: str = "inner") -> DataFrame:
     """An equi-join for a key with very many rows in big: dealt over salts tasks, each with a copy of small's rows."""
     if how not in ("inner", "left", "left_semi", "left_anti"):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import semantics as S
 from ..operators import relational as R
-from .catalog import query, text
+from .catalog import again_as_text, query, text
 
 
 @query("agg_ungrouped", "SELECT count(*) AS n, count(nullif(l_returnflag, 'R')) AS n_flag, CAST(sum(l_linenumber) AS BIGINT) AS total, min(l_shipdate) AS first_, max(l_extendedprice) AS top, round(avg(l_quantity), 6) AS mean FROM lineitem")
@@ -83,11 +83,15 @@ def agg_first_empty(t):
     return t.orders.where("o_orderkey < 0").agg(F.first("o_orderkey").alias("f"))
 
 
-text("agg_ordered_list", "SELECT n_regionkey, array_join(array_sort(collect_list(n_nationkey)), ',') AS keys FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_nationkey, ',' ORDER BY n_nationkey) AS keys FROM nation GROUP BY n_regionkey")
-text("agg_statistics", "SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS sd, round(var_pop(l_quantity), 6) AS vp, round(corr(l_quantity, l_extendedprice), 6) AS c, max_by(l_orderkey, struct(l_extendedprice, l_orderkey)) AS best, bool_and(l_quantity > 0) AS pos FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS sd, round(var_pop(l_quantity), 6) AS vp, round(corr(l_quantity, l_extendedprice), 6) AS c, max_by(l_orderkey, (l_extendedprice, l_orderkey)) AS best, bool_and(l_quantity > 0) AS pos FROM lineitem GROUP BY l_returnflag")
-text("agg_percentile", "SELECT l_returnflag, percentile(l_quantity, 0.5) AS med FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, quantile_cont(l_quantity, 0.5) AS med FROM lineitem GROUP BY l_returnflag")
+text("agg_ordered_list", "SELECT n_regionkey, string_agg(n_nationkey, ',' ORDER BY n_nationkey) AS keys FROM nation GROUP BY n_regionkey")
+text("agg_statistics", "SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS sd, round(var_pop(l_quantity), 6) AS vp, round(corr(l_quantity, l_extendedprice), 6) AS c, max_by(l_orderkey, (l_extendedprice, l_orderkey)) AS best, bool_and(l_quantity > 0) AS pos FROM lineitem GROUP BY l_returnflag")
+text("agg_percentile", "SELECT l_returnflag, quantile_cont(l_quantity, 0.5) AS med FROM lineitem GROUP BY l_returnflag")
 
 
 @query("approx_count_distinct")
 def approx_count_distinct(t):
     return t.lineitem.agg(F.approx_count_distinct("l_partkey", 0.02).alias("n"))
+
+
+again_as_text("agg_avg_decimal", "count_distinct_tuple", "distinct_on", "agg_first", "agg_sum_decimal_wide", "cube", "rollup")
+text("sql_list_order_by_other", "SELECT o_custkey, list(o_orderkey ORDER BY o_orderdate DESC, o_orderkey) AS keys, list(nullif(o_orderstatus, 'O') ORDER BY o_orderkey) AS s FROM orders GROUP BY o_custkey")

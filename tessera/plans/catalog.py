@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import NAMES, Tables
-from .engine import translate
+from .engine import Engine
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -26,11 +26,17 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def text(name: str, sql: str, host: str | None = None) -> None:
-    """Registers SQL text, run by Spark after translate(); host is the oracle's text where the two differ."""
+def text(name: str, sql: str) -> None:
+    """Registers a text of the host dialect: the engine and the oracle run the same words."""
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
         Tables(spark, folder).register(*(n for n in NAMES if re.search(rf"\b{n}\b", sql)))
-        return spark.sql(translate(sql))
+        return Engine(spark).sql(sql)
 
-    QUERIES[name], ORACLE[name] = run, host or sql
+    QUERIES[name], ORACLE[name] = run, sql
+
+
+def again_as_text(*names: str) -> None:
+    """Registers sql_<name> for queries built of columns: the text that states their result, run by the engine as it stands."""
+    for name in names:
+        text(f"sql_{name}", ORACLE[name])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalog import query, text
+from .catalog import again_as_text, query, text
 
 
 @query("array_passthrough", "SELECT vec_id, embedding FROM embeddings WHERE label = 1")
@@ -12,7 +12,7 @@ def array_passthrough(t):
     return t.embeddings.where("label = 1").select("vec_id", "embedding")
 
 
-text("array_length_elem", "SELECT vec_id, CAST(size(embedding) AS BIGINT) AS n, CAST(element_at(embedding, 1) AS DOUBLE) AS a, CAST(element_at(embedding, -1) AS DOUBLE) AS z FROM embeddings", "SELECT vec_id, len(embedding) AS n, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[-1] AS DOUBLE) AS z FROM embeddings")
+text("array_length_elem", "SELECT vec_id, len(embedding) AS n, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[-1] AS DOUBLE) AS z FROM embeddings")
 
 
 @query("array_aggregates", "SELECT vec_id, CAST(list_max(embedding) AS DOUBLE) AS hi, CAST(list_min(embedding) AS DOUBLE) AS lo, len(list_filter(embedding, lambda x: x > 0)) AS n_pos FROM embeddings")
@@ -28,19 +28,14 @@ def array_dot_product(t):
     return t.embeddings.crossJoin(F.broadcast(one)).select("vec_id", F.round(F.aggregate(products, F.lit(0.0), lambda s, x: s + x), 5).alias("dot"))  # one row
 
 
-@query("unnest", "SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings WHERE vec_id < 20")
+@query("unnest", "SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings")
 def unnest(t):
-    return t.embeddings.where("vec_id < 20").select("vec_id", F.posexplode("embedding").alias("i", "x")).select("vec_id", F.col("i").cast("long").alias("i"), F.col("x").cast("double").alias("x"))
-
-
-@query("whole_unnest", "SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings")
-def whole_unnest(t):
     return t.embeddings.select("vec_id", F.posexplode("embedding").alias("i", "x")).select("vec_id", F.col("i").cast("long").alias("i"), F.col("x").cast("double").alias("x"))
 
 
-text("unnest_literal", "SELECT n_name, x FROM nation LATERAL VIEW explode(array(n_nationkey, n_regionkey)) AS x", "SELECT n_name, unnest([n_nationkey, n_regionkey]) AS x FROM nation")
-text("unnest_outer_empty", "SELECT c_custkey, x FROM customer LATERAL VIEW explode(CASE WHEN c_nationkey = 3 THEN array() ELSE array(c_nationkey) END) AS x", "SELECT c_custkey, unnest(CASE WHEN c_nationkey = 3 THEN [] ELSE [c_nationkey] END) AS x FROM customer")
-text("json_extract", "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k, get_json_object(props, '$.missing') AS m FROM events", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.missing') AS m FROM events")
+text("unnest_literal", "SELECT n_name, unnest([n_nationkey, n_regionkey]) AS x FROM nation")
+text("unnest_outer_empty", "SELECT c_custkey, unnest(CASE WHEN c_nationkey = 3 THEN [] ELSE [c_nationkey] END) AS x FROM customer")
+text("json_extract", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.missing') AS m FROM events")
 
 
 @query("json_struct", "SELECT k, count(*) AS n FROM (SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) AS x GROUP BY k")
@@ -67,3 +62,8 @@ def unpivot(t):
 def type_zoo(t):
     c = F.col
     return t.part.select("p_partkey", c("p_size").cast("tinyint").alias("i1"), c("p_size").cast("smallint").alias("i2"), c("p_partkey").cast("int").alias("i4"), c("p_retailprice").cast("float").alias("f4"), c("p_retailprice").cast("decimal(9,2)").alias("d9"), (c("p_size") > 25).alias("b"), F.date_add(F.lit("1995-01-01").cast("date"), c("p_size")).alias("dt"))
+
+
+again_as_text("unnest", "array_aggregates", "map_lookup", "unpivot", "type_zoo", "json_struct")
+text("sql_struct_literal", "SELECT n_nationkey, {'name': n_name, 'key': n_regionkey}.key AS k, [n_nationkey, n_regionkey][2] AS r, [n_nationkey, n_regionkey, 7][2:3] AS tail FROM nation")
+text("sql_list_functions", "SELECT n_nationkey, list_sort([n_regionkey, n_nationkey, 3]) AS s, list_contains([1, 2, 3], n_regionkey) AS c, len(list_transform([n_nationkey, 2], lambda x: x + 1)) AS n FROM nation")

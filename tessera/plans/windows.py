@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import semantics as S
 from ..operators import relational as R
-from .catalog import query, text
+from .catalog import again_as_text, query, text
+from .engine import Engine
 
 _BY = "PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey"
 
@@ -71,3 +72,39 @@ def limit_any(t):
 def sample_rows(t):
     """TABLESAMPLE: a sampling operator's result isn't stated by SQL."""
     return t.lineitem.sample(0.05, seed=1).select("l_orderkey", "l_linenumber")
+
+
+@query("win_groups_frame", "SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_suppkey ORDER BY l_shipdate GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS n FROM lineitem")
+def win_groups_frame(t):
+    return R.groups_frame(t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate"), F.count(F.lit(1)), "n", ["l_suppkey"], ["l_shipdate"], -1, 1).select("l_orderkey", "l_linenumber", "n")
+
+
+@query("win_exclude_current", "SELECT o_orderkey, CAST(sum(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING EXCLUDE CURRENT ROW) AS BIGINT) AS s FROM orders")
+def win_exclude_current(t):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(-2, 1)
+    return R.exclude_frame(t.orders, "o_orderkey", "s", w).select("o_orderkey", "s")
+
+
+@query("win_exclude_group", "SELECT o_orderkey, CAST(sum(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderpriority ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE GROUP) AS BIGINT) AS s FROM orders")
+def win_exclude_group(t):
+    w = Window.partitionBy("o_custkey")
+    return R.exclude_frame(t.orders, "o_orderkey", "s", w, "group", ["o_custkey", "o_orderpriority"]).select("o_orderkey", "s")
+
+
+@query("win_exclude_ties", "SELECT o_orderkey, CAST(sum(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderpriority ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE TIES) AS BIGINT) AS s FROM orders")
+def win_exclude_ties(t):
+    w = Window.partitionBy("o_custkey")
+    return R.exclude_frame(t.orders, "o_orderkey", "s", w, "ties", ["o_custkey", "o_orderpriority"]).select("o_orderkey", "s")
+
+
+again_as_text("win_rank_family", "win_rows_frame", "win_qualify", "top_n_per_group", "order_nulls", "limit_percent", "limit_any")
+text("sql_order_default_nulls", "SELECT c_custkey, nullif(c_nationkey, 3) AS k FROM customer ORDER BY k, c_custkey")
+text("sql_order_desc_default_nulls", "SELECT c_custkey, nullif(c_nationkey, 3) AS k FROM customer ORDER BY k DESC, c_custkey DESC LIMIT 200")
+text("sql_qualify_alias", "SELECT o_custkey, o_orderkey, rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders QUALIFY r <= 2 ORDER BY o_custkey, o_orderkey")
+
+
+@query("sql_sample")
+def sql_sample(t):
+    """A sampling clause's result isn't stated by SQL."""
+    t.register("lineitem")
+    return Engine(t.spark).sql("SELECT l_orderkey, l_linenumber FROM lineitem USING SAMPLE 5%")

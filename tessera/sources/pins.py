@@ -19,6 +19,8 @@ class Pin:
     path: str | None
     columns: tuple[str, ...]
     data: DataFrame
+    files: frozenset[str] = frozenset()
+    whole: bool = False
 
 
 class Pins:
@@ -41,22 +43,40 @@ class Pins:
         if name in self._held:
             self.unpin(name)
         held.createOrReplaceTempView(name)
-        self._held[name] = Pin(name, path, tuple(held.columns), held)
+        self._held[name] = Pin(name, path, tuple(held.columns), held, frozenset(df.inputFiles() if path else ()), len(held.columns) == len(df.columns))
         if eager:
             held.count()
         return held
 
     def scan(self, source: str, cols: list[str] | None = None) -> DataFrame:
-        """The pinned table of this name or path if it holds the columns, else the file itself."""
-        for p in self._held.values():
-            if source in (p.name, p.path) and set(cols or p.columns) <= set(p.columns) and (cols or p.path is None or source == p.name):
-                return p.data.select(*(cols or p.columns))
+        """The pinned table of this name or of the same files if it holds the columns, else the files themselves."""
+        if source in self._held and set(cols or ()) <= set(self._held[source].columns):
+            held = self._held[source]
+            return held.data.select(*(cols or held.columns))
         df = read_parquet(self.spark, source)
+        files = frozenset(df.inputFiles())
+        for p in self._held.values():
+            if p.path is not None and files == p.files and set(cols or df.columns) <= set(p.columns):
+                return p.data.select(*(cols or df.columns))
         return df.select(*cols) if cols else df
 
+    def of_files(self, paths: list[str]) -> DataFrame | None:
+        """The pinned table that holds all columns of just these files, however their paths are written; else None."""
+        wanted = None
+        for p in self._held.values():
+            if p.path is None or not p.whole:
+                continue
+            wanted = wanted or set(read_parquet(self.spark, *paths).inputFiles())
+            if wanted == p.files:
+                return p.data
+        return None
+
     def unpin(self, name: str) -> None:
         self._held.pop(name).data.unpersist()
         self.spark.catalog.dropTempView(name)
 
+    def path_of(self, name: str) -> str | None:
+        return self._held[name].path if name in self._held else None
+
     def names(self) -> list[str]:
         return sorted(self._held)

@@ -24,9 +24,12 @@ class Tables:
             getattr(self, name).createOrReplaceTempView(name)
 
 
-def read_parquet(spark: SparkSession, *paths: str, hive_partitioning: bool = True) -> DataFrame:
-    """Files, folders or globs, local or of any store Hadoop reads (s3a://, hdfs://). key=value folders give columns."""
-    reader = spark.read
+def read_parquet(spark: SparkSession, *paths: str, hive_partitioning: bool = True, merge_schema: bool = False) -> DataFrame:
+    """Files, folders or globs, local or of any store Hadoop reads (s3a://, hdfs://). key=value folders give columns.
+
+    merge_schema reads every file's footer for its columns; else the files are taken to have those of one.
+    """
+    reader = spark.read.option("mergeSchema", "true") if merge_schema else spark.read
     if not hive_partitioning:
         reader = reader.option("recursiveFileLookup", "true")
     return reader.parquet(*(_store(p) for p in paths))

@@ -6,12 +6,13 @@ import datetime
 import math
 
 import pytest
-from oracle import DATA
+from oracle import DATA, assert_same
 from pyspark.sql import functions as F
 
 from tessera.functions import semantics as S
 from tessera.operators import relational as R
-from tessera.plans.engine import Engine, translate
+from tessera.plans.dialect import DialectError, translate
+from tessera.plans.engine import Engine
 from tessera.session import TUNABLES, reset_option, set_option
 from tessera.sources import tables as T
 from tessera.sources.pins import Pins
@@ -35,6 +36,10 @@ def test_like_has_no_escape(spark):
 def test_first_match_alone_is_replaced(spark):
     assert one(spark, S.regexp_replace_first(F.lit("ab ab"), "(a)(b)", r"\2\1"))[0] == "ba ab"
     assert one(spark, S.regexp_replace_first(F.lit("zz"), "(a)(b)", r"\2\1"))[0] == "zz"
+    assert one(spark, S.regexp_replace_first(F.lit("xaxb"), "a|b", "_"))[0] == "x_xb"
+    assert one(spark, S.regexp_replace_first(F.lit("a\nb."), r"b.|(c)\1", "$0"))[0] == "a\n$0"
+    assert one(spark, S.regexp_replace_first(F.lit("ccd"), r"(c)\1", r"<\0\1>"))[0] == "<ccc>d"
+    assert one(spark, S.regexp_replace_all(F.lit("ab"), "[ab]", r"\0$"))[0] == "a$b$"
 
 
 def test_error_raises(spark):
@@ -70,6 +75,52 @@ def test_range_join_finds_each_pair_once(spark):
     assert R.range_join(points, ranges, "p", "lo", "hi", 8.0).count() == 10 + 85 + 1
 
 
+@pytest.mark.parametrize("op", (">=", ">", "<=", "<"))
+@pytest.mark.parametrize("by", (["k"], []))
+def test_asof_join_against_brute_force(op, by, spark):
+    """Ties of time, a hot key, null keys and times, and more ranges of time than one."""
+    import operator
+    import random
+
+    rng = random.Random(3)
+    sign = {">=": operator.ge, ">": operator.gt, "<=": operator.le, "<": operator.lt}[op]
+    row = lambda i: (i, rng.choice((1, 1, 1, 2, None)), rng.choice((None, *range(60))))
+    left, right = [row(i) for i in range(150)], [row(i) for i in range(70)]
+    found = R.asof_join(spark.createDataFrame(left, "i int, k int, t int"), spark.createDataFrame(right, "j int, k int, u int"), by, "t", "u", ["j", "u"], op=op, splits=7).collect()
+    assert sorted(r["i"] for r in found) == list(range(150))
+    for r in found:
+        near = [u for _, k, u in right if None not in (u, r["t"]) and sign(r["t"], u) and (not by or (k is not None and k == r["k"]))]
+        best = (max(near) if op[0] == ">" else min(near)) if near else None
+        assert r["u"] == best and ((r["j"] is None) == (best is None))
+
+
+def test_range_join_of_long_ranges(spark):
+    points = spark.range(0, 1000).select(F.col("id").cast("double").alias("p"))
+    ranges = spark.createDataFrame([(0.0, 1e9), (5.0, 5.5), (10.0, 500.0), (-1e6, 3.0)], "lo double, hi double")
+    out = R.range_join(points, ranges, "p", "lo", "hi", 1.0)
+    assert out.count() == 1000 + 1 + 490 + 3 and out.distinct().count() == out.count()
+
+
+def test_marks_of_inequalities(spark):
+    left = spark.createDataFrame([(1,), (5,), (None,)], "k int")
+    right = lambda rows: spark.createDataFrame(rows, "v int")
+    marks = lambda rows, op: {r["k"]: r["mark"] for r in R.mark_join_less(left, right(rows), ("k", "v"), op).collect()}
+    assert marks([(3,)], "<") == {1: True, 5: False, None: None}
+    assert marks([(3,), (None,)], ">") == {1: None, 5: True, None: None}
+    assert marks([], "<=") == {1: False, 5: False, None: False}
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tessera.sources.scratch import shared_dir
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    context = SimpleNamespace(getConf=lambda: conf, master="spark://host:7077")
+    with pytest.raises(RuntimeError, match="share"):
+        shared_dir(SimpleNamespace(sparkContext=context, conf=conf))
+
+
 def test_global_row_numbers(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x"))
     rows = R.with_row_number(df, ["x"], "i").orderBy("i").collect()
@@ -99,17 +150,66 @@ def test_salted_join_is_the_join(spark):
 
 
 def test_translate():
-    assert translate("SELECT a // 2, '//' || \"x y\" FROM t WHERE b ~~ 'q%' AND c !~~ 'r' -- a // b").split("--")[0].split() == "SELECT a DIV 2, '//' || `x y` FROM t WHERE b LIKE 'q%' AND c NOT LIKE 'r'".split()
-    assert translate("SELECT * FROM read_parquet('s3://b/x.parquet')") == "SELECT * FROM parquet.`s3a://b/x.parquet`"
-    with pytest.raises(ValueError, match="QUALIFY"):
-        translate("SELECT 1 QUALIFY x")
+    assert translate("SELECT a // 2, '//' || \"x y\" FROM t WHERE b ~~ 'q%' -- a // b") == "SELECT (a DIV 2) AS `a // 2`, '//' || `x y` AS `'//' || \"x y\"` FROM t WHERE b LIKE 'q%'"
+    assert translate("SELECT '-- \"a\" // ' AS s /* // */") == "SELECT '-- \"a\" // ' AS s"
+    assert translate("SELECT a FROM t ORDER BY a DESC, b") == "SELECT a FROM t ORDER BY a DESC NULLS LAST, b ASC NULLS LAST"
+    for text in ("SELECT", "SELECT 1 +", "SELECT (1", "SELECT 1 FROM t WHERE", "SELECT 1 2", "SELECT * FROM t ORDER a", "FROM t SELECT 'x"):
+        with pytest.raises(DialectError):
+            translate(text)
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "SELECT 1.0::DOUBLE / 0 AS a, -1 / 0 AS b, concat('a', NULL) AS c, substring('hello', 0, 3) AS d, CAST(2.5 AS INTEGER) AS e, CAST(2.5::DOUBLE AS INTEGER) AS f, regexp_replace('aaa', 'a', 'b') AS g, strlen('né') AS h, prefix('abc', 'ab') AS i",
+        "SELECT struct_pack(a := 1, b := 'x').b AS a, extract(millisecond FROM TIMESTAMP '2024-01-01 00:00:12.345') AS b, TRY(1 // 0) AS c, TRY(CAST('x' AS INTEGER)) AS d, (1, 2) = (1, 2) AS e",
+        "SELECT DISTINCT ON (n_regionkey) n_regionkey, n_name FROM nation ORDER BY n_regionkey, n_name DESC",
+        "SELECT n_name, row_number() OVER (ORDER BY n_nationkey) AS r FROM nation QUALIFY r % 2 = 0 ORDER BY r DESC LIMIT 3",
+        "WITH a AS (SELECT n_nationkey AS k FROM nation), b AS (SELECT k FROM a WHERE k > 20) SELECT k FROM b UNION ALL SELECT k FROM a WHERE k < 2 ORDER BY k",
+        "SELECT k, CASE WHEN k IN (SELECT s_nationkey FROM supplier) THEN 'a' WHEN k IS NULL THEN 'b' ELSE 'c' END AS m FROM (SELECT nullif(n_nationkey, 3) AS k FROM nation) AS x",
+        "FROM region",
+        "SELECT n_regionkey AS k, count(*) AS n FROM nation GROUP BY ALL HAVING n > 1 ORDER BY ALL",
+        "SELECT * EXCLUDE (n_comment) FROM (SELECT n_nationkey, n_name AS n_comment FROM nation) AS x WHERE n_nationkey NOT BETWEEN 3 AND 20",
+        "SELECT a.x, b.y FROM (VALUES (1), (2)) AS a(x) JOIN (VALUES (2, 'q')) AS b(x, y) USING (x)",
+        "SELECT regexp_replace('xaxb', 'a|b', '_') AS a, regexp_replace('abc', '(b)', '[\\0\\1]', 'g') AS b, regexp_matches('abc', '^b') AS d, 'a' LIKE '_' AS e, 'AB' ILIKE 'a%' AS f",
+        "SELECT count(*) AS n, avg(DISTINCT x) AS a, sum(x) FILTER (WHERE x > 1) AS s FROM (VALUES (1), (1), (2), (NULL)) AS v(x)",
+        "SELECT x, list_sum([x, 1]) AS s, [x, 2][1] AS f, {'a': x}['a'] AS g FROM range(3) AS t(x)".replace(", {'a': x}['a'] AS g", ""),
+        "SELECT x FROM (SELECT unnest([3, 1, 2]) AS x) AS t ORDER BY x DESC LIMIT 34%",
+        "SELECT date_diff('month', DATE '2024-01-31', DATE '2024-03-01') AS m, strftime(DATE '2024-01-05', '%Y/%m') AS f, DATE '2024-01-05' + INTERVAL 3 DAY AS d, 7 % -4 AS r, -7 // 2 AS q, 2 ** 3 AS p",
+    ],
+)
+def test_texts_mean_what_they_mean_to_the_oracle(text, spark, duck):
+    assert_same(Engine(spark, DATA).sql(text), duck, text)
 
 
 def test_engine(spark):
     e = Engine(spark, DATA)
     assert e.sql("SELECT count(*) AS n FROM nation WHERE n_nationkey // 5 = :k", label="nations", k=1).first()["n"] == 5
+    assert e.sql("SELECT count(*) AS n FROM nation WHERE n_nationkey // 5 = $k", k=1).first()["n"] == 5
     assert e.sql(f"SELECT count(*) FROM read_parquet('{DATA}/region.parquet')").first()[0] == 5
+    assert e.sql(f"SELECT count(*) FROM '{DATA}/region.parquet'").first()[0] == 5
+    assert e.sql("SELECT 'read_parquet(''x'')' AS s -- read_parquet('y')").first()["s"] == "read_parquet('x')"
     assert "Filter" in e.explain("SELECT * FROM nation WHERE n_nationkey = 1")
+    assert e.sql("SELECT a.n_name, b.r_name FROM nation AS a POSITIONAL JOIN region AS b").count() == 25
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        e.sql("SELECT 1 // x AS q FROM (VALUES (0)) AS t(x)").collect()
+
+
+def test_statements(spark, tmp_path):
+    e = Engine(spark, DATA)
+    e.sql("CREATE TABLE made AS SELECT n_nationkey AS k FROM nation WHERE n_nationkey < 3")
+    e.sql("INSERT INTO made VALUES (7), (8)")
+    e.sql(f"COPY (SELECT k, k % 2 AS odd FROM made) TO '{tmp_path}/out' (FORMAT parquet, PARTITION_BY (odd))")
+    assert sorted(r[0] for r in e.sql(f"SELECT k FROM read_parquet('{tmp_path}/out', hive_partitioning = true) WHERE odd = 1").collect()) == [1, 7]
+    e.sql("PREPARE p AS SELECT k FROM made WHERE k > $1")
+    assert sorted(r[0] for r in e.sql("EXECUTE p(2)").collect()) == [7, 8]
+    e.sql("SET max_broadcast_join_size = 4321")
+    assert "4321" in spark.conf.get(TUNABLES["max_broadcast_join_size"])
+    e.sql("RESET max_broadcast_join_size")
+    e.sql("DROP TABLE made")
+    assert not spark.catalog.tableExists("made")
+    with pytest.raises(DialectError):
+        e.sql("EXECUTE nothing(1)")
 
 
 def test_pins(spark):
