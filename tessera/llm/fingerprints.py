@@ -16,15 +16,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import Scratch
+from .scratch import Scratch, has_irregular_ids
 from .shingles import SLICE_BYTES, WIDTH, sequence_hashes, shingle_sets, slices, word_hashes
 
 PERMS = 192
 BAND_ROWS = 6
+TASK_BYTES = 16 << 20
 THRESHOLD = 0.75
 _A = np.random.default_rng(7).integers(1, 1 << 63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = np.random.default_rng(8).integers(0, 1 << 63, 1024, dtype=np.uint64)
@@ -82,7 +84,7 @@ def _rows(ids: list, texts: list[str], following: list[str], perms: int, own: np
     return [pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(r).hexdigest() for r in raw]), pa.array(_printable(own)), pa.array(_printable(changed)), pa.array(likeness(own, changed)), pa.array(likeness(own, after))]
 
 
-def with_next(docs: DataFrame, perms: int = PERMS, id_col: str = "doc_id", text_col: str = "text", rows_per_task: int = 1000) -> DataFrame:
+def with_next(docs: DataFrame, perms: int = PERMS, id_col: str = "doc_id", text_col: str = "text", task_bytes: int = TASK_BYTES) -> DataFrame:
     """One row per document: FIELDS, with the next document's text spliced in as the edit.
 
     Documents are ordered by id (null first), repeated ids by text; after the last comes the first. A null text counts
@@ -95,6 +97,7 @@ def with_next(docs: DataFrame, perms: int = PERMS, id_col: str = "doc_id", text_
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of all documents but the partition's last; of it and of the first, what the neighbours need."""
         head = last = None
+        part = TaskContext.get().partitionId()
         for batch in batches:
             all_ids, all_texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             size = [len(t) for t in all_texts]
@@ -107,39 +110,46 @@ def with_next(docs: DataFrame, perms: int = PERMS, id_col: str = "doc_id", text_
                 ids, texts = all_ids[at:end], all_texts[at:end]
                 own = signatures([t.encode() for t in texts], perms)
                 if head is None:
-                    head = (ids[0], texts[0])
+                    head = texts[0]
                 if last is not None:
                     ids, texts, own = [last[0], *ids], [last[1], *texts], np.concatenate([last[2], own])
                 if len(ids) > 1:
                     made = _rows(ids[:-1], texts[:-1], texts[1:], perms, own[:-1], own[1:])
                     n = len(ids) - 1
-                    yield pa.RecordBatch.from_arrays([*made, pa.nulls(n, pa.string()), pa.nulls(n, pa.string())], [*names, "head", "tail"])
+                    yield pa.RecordBatch.from_arrays([*made, pa.nulls(n, pa.string()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())], [*names, "head", "tail", "part"])
                 last = (ids[-1], texts[-1], own[-1:])
                 at = end
         if last is not None:
-            blank = [pa.array([last[0]], pa.int64()), pa.array([head[0]], pa.int64()), *(pa.nulls(1, t) for t in (pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*blank, pa.array([head[1]]), pa.array([last[1]])], [*names, "head", "tail"])
+            blank = [pa.array([last[0]], pa.int64()), *(pa.nulls(1, t) for t in (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*blank, pa.array([head]), pa.array([last[1]]), pa.array([part], pa.int64())], [*names, "head", "tail", "part"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-docs.count() // rows_per_task))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // task_bytes))
     ordered = rows.repartitionByRange(tasks, "doc_id").sortWithinPartitions("doc_id", "text")
-    made = scratch.keep(ordered.mapInArrow(stream, FIELDS + ", head string, tail string"), "made")
-    # One row per partition: doc_id is its last document's, n_chars holds its first one's.
-    edges = made.where("tail IS NOT NULL").select("doc_id", "tail", F.col("n_chars").alias("first_id"), "head")
-    order = Window.orderBy(F.col("doc_id").asc_nulls_first(), F.col("first_id").asc_nulls_first())
-    first = F.first("head").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    joined = edges.select("doc_id", "tail", F.coalesce(F.lead("head").over(order), first).alias("following"))
+    made = scratch.keep(ordered.mapInArrow(stream, FIELDS + ", head string, tail string, part long"), "made")
+    # One row per task that had rows, in the order of the ranges: its last text meets the first one of the next such task.
+    edges = made.where("tail IS NOT NULL").select("doc_id", "tail", "head", "part")
+    order = Window.orderBy("part")  # over the tasks' numbers alone
+    first = F.first("part").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    after = edges.select("part", F.coalesce(F.lead("part").over(order), first).alias("after"))
+    heads = edges.select(F.col("part").alias("after"), F.col("head").alias("following"))
+    joined = edges.select("doc_id", "tail", "part").join(after, "part").join(heads, "after").select("doc_id", "tail", "following")
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts, following = (batch.column(i).to_pylist() for i in range(3))
             yield pa.RecordBatch.from_arrays(_rows(ids, texts, following, perms), names)
 
-    return made.where("tail IS NULL").select(*names).union(joined.repartition(8).mapInArrow(close, FIELDS))
+    return made.where("tail IS NULL").select(*names).union(joined.mapInArrow(close, FIELDS))
 
 
 def fingerprints(docs: DataFrame, perms: int = PERMS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, signature binary) of every document; equal texts have equal signatures."""
+    """(doc_id, signature binary) of every row; equal texts have equal signatures.
+
+    A null text counts as empty, and texts without words have EMPTY throughout; repeated rows are signed each; a null id
+    stays null; an empty table gives an empty result; other columns aren't read.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,10 +166,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, perms: int =
     Each document first meets the smallest id of its band buckets, then the leader by another order. Verified links are
     contracted after each pass; at last all members of a bucket that are in different components meet, so no pair that
     shares a band and is near stays in two. Pairs within a component needn't all be listed. An LSH search: pairs that
-    share no band aren't found. Texts without words are near nothing. A bucket of n documents that link to nobody costs
+    share no band aren't found. Texts without words are near nothing, and so are rows without an id. Rows that share an id
+    count as one document, the one with the least text; an empty table gives an empty result; other columns aren't read. A bucket of n documents that link to nobody costs
     its n (n - 1) / 2 pairs.
     """
     scratch = Scratch(docs.sparkSession, "near")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL")
+    if has_irregular_ids(docs, "doc_id"):
+        docs = scratch.keep(docs.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")), "once")
+    id_col, text_col = "doc_id", "text"
     signed = fingerprints(docs, perms, id_col, text_col).where(F.col("doc_id").isNotNull() & (F.col("signature") != F.lit(bytes([EMPTY] * perms))))
     size = band_rows
     bands = F.explode(F.array(*(F.struct(F.lit(b).alias("b"), F.substring("signature", b * size + 1, size).alias("v")) for b in range(perms // band_rows))))

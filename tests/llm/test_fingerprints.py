@@ -7,7 +7,9 @@ from itertools import combinations
 import numpy as np
 from llm_data import by_id
 
-from tessera.llm.fingerprints import near_duplicates, signatures, with_next
+from oracle import DATA
+
+from tessera.llm.fingerprints import fingerprints, near_duplicates, signatures, with_next
 from tessera.llm.shingles import SLICE_BYTES, shingle_sets
 
 
@@ -21,7 +23,7 @@ def jaccard(a, b):
 
 
 def test_edge_rows(edge, edge_rows):
-    found = by_id(with_next(edge, rows_per_task=7).collect())
+    found = by_id(with_next(edge, task_bytes=20_000).collect())
     rows = sorted(edge_rows)
     assert len(found) == len(rows)
     errors = []
@@ -100,3 +102,28 @@ def test_near_documents_that_share_a_band_are_connected(spark):
     found = {(r["doc_id"], r["near_id"]): r["jaccard"] for r in near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), perms=perms, band_rows=rows).collect()}
     assert all(abs(near[p] - j) < 1e-9 for p, j in found.items())
     assert connected(range(len(texts)), found) == connected(range(len(texts)), near)
+
+
+def test_recall_of_near_duplicates(spark):
+    """Of all pairs of 0.75 and more in a real table, by brute force over shared shingles, nine in ten are connected."""
+    docs = spark.read.parquet(f"{DATA.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    sets = {i: shingles(t) for i, t in texts.items()}
+    holders, shared = {}, {}
+    for i, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    for ids in holders.values():
+        for a, b in combinations(ids, 2):
+            shared[a, b] = shared.get((a, b), 0) + 1
+    near = [(a, b) for (a, b), n in shared.items() if n >= 0.75 * (len(sets[a]) + len(sets[b]) - n)]
+    label = connected(texts, [(r["doc_id"], r["near_id"]) for r in near_duplicates(docs).collect()])
+    assert len(near) > 50 and sum(label[a] == label[b] for a, b in near) >= 0.9 * len(near)
+
+
+def test_near_duplicates_of_odd_tables(irregular, empty, spark):
+    df, rows = irregular
+    found = near_duplicates(df).collect()
+    assert all(r["doc_id"] is not None and r["near_id"] < r["doc_id"] for r in found) and len({(r["doc_id"], r["near_id"]) for r in found}) == len(found)
+    assert near_duplicates(empty).count() == 0 and fingerprints(empty).count() == 0
+    assert fingerprints(df).count() == len(rows)
