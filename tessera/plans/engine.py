@@ -117,17 +117,19 @@ class Engine:
     def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark, self.pins = spark, Pins(spark)
         self._prepared: dict[str, str] = {}
+        self._macros: dict[str, tuple[list[str], str]] = {}
+        self._profiled: set[int] | None = None
         if folder:
             Tables(spark, folder).register()
 
     def translate(self, text: str, args: dict | None = None) -> str:
         Engine._count += 1
-        return dialect.translate(text, SparkViews(self.spark, f"__tessera_{Engine._count}", args, self.pins))
+        return dialect.translate(text, SparkViews(self.spark, f"__tessera_{Engine._count}", args, self.pins), self._macros)
 
     def sql(self, text: str, label: str | None = None, **args: object) -> DataFrame:
         """The result of a statement; :name or $name in the text is a parameter, $1 the parameter p1. label names its jobs.
 
-        Queries, EXPLAIN, CREATE [OR REPLACE] [TEMP] VIEW | TABLE name AS query, INSERT INTO name query, COPY name | (query) TO
+        Queries, EXPLAIN, CREATE [OR REPLACE] [TEMP] VIEW | TABLE name AS query, CREATE MACRO name(a, b) AS expression, INSERT INTO name query, COPY name | (query) TO
         'path' (options), DROP, PREPARE name AS query, EXECUTE name(values), SET and RESET of options.
         """
         if label:
@@ -150,6 +152,10 @@ class Engine:
         return self.spark.sql(f"EXPLAIN FORMATTED {self.translate(rest, args)}", args=args or None)
 
     def _create(self, text: str, args: dict) -> DataFrame:
+        m = re.match(r"\s*CREATE\s+(?:OR\s+REPLACE\s+)?(?:TEMP(?:ORARY)?\s+)?(?:MACRO|FUNCTION)\s+(\w+)\s*\(([\w\s,]*)\)\s+AS\s+(?!TABLE\b)(.*?);?\s*$", text, re.IGNORECASE | re.DOTALL)
+        if m:
+            self._macros[m[1].lower()] = ([p.strip() for p in m[2].split(",") if p.strip()], m[3])
+            return self._done(f"macro {m[1]}")
         m = re.match(r"\s*CREATE\s+(OR\s+REPLACE\s+)?(?:TEMP(?:ORARY)?\s+)?(VIEW|TABLE)\s+(IF\s+NOT\s+EXISTS\s+)?([\w.]+|\"[^\"]+\")\s+AS\s+(.*)$", text, re.IGNORECASE | re.DOTALL)
         if not m:
             raise dialect.DialectError("CREATE: a VIEW or a TABLE ... AS a query")
@@ -247,6 +253,24 @@ class Engine:
         reset_option(self.spark, name)
         return self._done(name)
 
+    def profiler_start(self) -> None:
+        """From now on the session's stages count for profiler_stop()."""
+        self._profiled = {s.stageId() for s in self._stages()}
+
+    def profiler_stop(self) -> DataFrame:
+        """A row for each stage run since profiler_start(): its label, tasks, seconds of tasks, bytes and rows read and shuffled."""
+        if self._profiled is None:
+            raise RuntimeError("profiler_start() first")
+        rows = [(s.stageId(), s.description().getOrElse(None) if s.description().isDefined() else None, s.numTasks(), s.executorRunTime() / 1000, s.inputBytes(), s.inputRecords(), s.shuffleWriteBytes(), s.shuffleReadBytes()) for s in self._stages() if s.stageId() not in self._profiled]
+        self._profiled = None
+        return self.spark.createDataFrame(rows, "stage int, label string, tasks int, seconds double, read_bytes long, read_rows long, shuffle_written long, shuffle_read long")
+
+    def _stages(self) -> list:
+        sc = self.spark.sparkContext
+        sc._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+        made = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return [made.apply(i) for i in range(made.size())]
+
     def set_label(self, label: str) -> None:
         self.spark.sparkContext.setJobDescription(label)
 

@@ -19,7 +19,7 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
-#: Names under which callers know these settings, and Spark's for the same thing.
+# Names under which callers know these settings, and Spark's for the same thing.
 TUNABLES = {
     "scan_task_batch_size": "spark.sql.files.maxPartitionBytes",
     "hash_partition_bytes": "spark.sql.adaptive.advisoryPartitionSizeInBytes",
@@ -28,17 +28,35 @@ TUNABLES = {
     "enable_dynamic_filter_pushdown": "spark.sql.optimizer.runtime.bloomFilter.enabled",
     "enable_pinned_zone_map_pruning": "spark.sql.inMemoryColumnarStorage.partitionPruning",
     "sort_sample_bytes": "spark.sql.execution.rangeExchange.sampleSizePerPartition",
+    "concat_batch_bytes": "spark.sql.adaptive.coalescePartitions.minPartitionSize",
+    "enable_dynamic_zone_map_filter": "spark.sql.optimizer.dynamicPartitionPruning.enabled",
+    "pin_table_compression": "spark.sql.inMemoryColumnarStorage.compressed",
 }
 
 
-def build_session(master: str | None = None, name: str = "tessera", **conf: object) -> SparkSession:
-    """A session with DEFAULTS, then conf: Spark's names with dots as double underscores, or those of TUNABLES."""
+def load_settings(path: str) -> dict[str, str]:
+    """A configuration file's lines of `name: value` or `name = value`; # starts a comment."""
+    out = {}
+    with open(path) as f:
+        for n, line in enumerate(f, 1):
+            line = line.split("#", 1)[0].strip()
+            if not line:
+                continue
+            mark = min((i for i in (line.find(":"), line.find("=")) if i > 0), default=-1)
+            if mark < 0:
+                raise ValueError(f"{path}, line {n}: a setting is name: value")
+            out[line[:mark].strip()] = line[mark + 1 :].strip().strip("'\"")
+    return out
+
+
+def build_session(master: str | None = None, name: str = "tessera", config_file: str | None = None, **conf: object) -> SparkSession:
+    """A session with DEFAULTS, then those of config_file, then conf: Spark's names with dots as double underscores, or those of TUNABLES."""
     builder = SparkSession.builder.appName(name)
     if master:
         builder = builder.master(master)
     for key, value in DEFAULTS.items():
         builder = builder.config(key, value)
-    for key, value in conf.items():
+    for key, value in (load_settings(config_file) | conf if config_file else conf).items():
         builder = builder.config(TUNABLES.get(key, key.replace("__", ".")), str(value))
     return builder.getOrCreate()
 

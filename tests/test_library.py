@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions import semantics as S
 from tessera.operators import relational as R
+from tessera.plans import registry
 from tessera.plans.dialect import DialectError, translate
 from tessera.plans.engine import Engine
-from tessera.session import TUNABLES, reset_option, set_option
+from tessera.session import TUNABLES, load_settings, reset_option, set_option
 from tessera.sources import tables as T
 from tessera.sources.pins import Pins
 from tessera.streaming.windows import stream_events, stream_tumbling, tumbling_counts
@@ -206,6 +207,9 @@ def test_statements(spark, tmp_path):
     e.sql("SET max_broadcast_join_size = 4321")
     assert "4321" in spark.conf.get(TUNABLES["max_broadcast_join_size"])
     e.sql("RESET max_broadcast_join_size")
+    e.sql("CREATE MACRO share(a, b) AS round(100 * a / b, 1)")
+    e.sql("CREATE MACRO clean(s) AS lower(trim(s))")
+    assert e.sql("SELECT share(k, 3) AS s, clean(' X ') AS c, k AS a FROM made WHERE k = 2").first() == (66.7, "x", 2)
     e.sql("DROP TABLE made")
     assert not spark.catalog.tableExists("made")
     with pytest.raises(DialectError):
@@ -263,6 +267,51 @@ def test_options(spark):
     reset_option(spark, "max_broadcast_join_size")
 
 
+def test_settings_of_a_file(tmp_path):
+    (tmp_path / "s.conf").write_text("# notes\nmax_broadcast_join_size: 99  # bytes\n\nspark.sql.shuffle.partitions = '7'\n")
+    assert load_settings(str(tmp_path / "s.conf")) == {"max_broadcast_join_size": "99", "spark.sql.shuffle.partitions": "7"}
+    (tmp_path / "bad.conf").write_text("nonsense\n")
+    with pytest.raises(ValueError, match="line 1"):
+        load_settings(str(tmp_path / "bad.conf"))
+
+
+def test_profiler(spark):
+    e = Engine(spark, DATA)
+    with pytest.raises(RuntimeError):
+        e.profiler_stop()
+    e.profiler_start()
+    e.sql("SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1", label="counted").collect()
+    rows = e.profiler_stop().collect()
+    assert any(r["label"] == "counted" and r["read_rows"] > 0 for r in rows) and any(r["shuffle_read"] > 0 for r in rows)
+
+
+def test_runtime_filter_is_applied(spark):
+    """The selective side's keys reach the other side's scan as a Bloom filter."""
+    names = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1", "spark.sql.optimizer.runtime.bloomFilter.enabled": "true"}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        plan = Engine(spark, DATA).sql("SELECT l_orderkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT' AND o_totalprice < 5000")._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert "might_contain" in plan
+
+
+def test_sampling_draws_about_its_share(spark):
+    n = spark.read.parquet(f"{DATA}/lineitem.parquet").count()
+    for name in ("sample_rows", "sql_sample"):
+        assert 0.02 * n < registry.queries()[name](spark, DATA).count() < 0.09 * n
+    true = spark.read.parquet(f"{DATA}/lineitem.parquet").select("l_partkey").distinct().count()
+    assert abs(registry.queries()["approx_count_distinct"](spark, DATA).first()["n"] - true) < 0.1 * true
+
+
+def test_a_scalar_subquery_of_two_rows_raises(spark):
+    with pytest.raises(Exception, match="SCALAR_SUBQUERY_TOO_MANY_ROWS"):
+        Engine(spark, DATA).sql("SELECT (SELECT n_name FROM nation) AS x").collect()
+
+
 def test_stream_agrees_with_batch(spark, tmp_path):
     events = T.Tables(spark, DATA).events.withColumn("ts", F.col("ts").cast("timestamp"))
     last = spark.createDataFrame([(10**9, datetime.datetime(2030, 1, 1), 0, "end", 0.0, "{}")], events.schema)
