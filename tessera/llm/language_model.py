@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import SENT, block_table, count_rows, sum_rows, sums_in_order
+from .blocks import SENT, block_table, blocked, count_rows, sum_rows, sums_in_order, texts_of
 from .shingles import SLICE_BYTES, sequence_hashes, slices, word_hashes
 
 ORDER = 3
@@ -64,7 +64,7 @@ SCORES = "doc_id long, n_words long, n_trigram long, n_bigram long, log_score do
 def _counts(docs: DataFrame, parts: int) -> DataFrame:
     def each(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
-        grams = Block([(t or "").encode() for t in table.column("text").to_pylist()])
+        grams = Block(texts_of(table)[1])
         return block_table([row for k in range(ORDER) for row in count_rows(block, grams.grams(k + 1)[1], parts, k * parts, whole=True)])
 
     return docs.groupBy("block").applyInArrow(each, SENT)
@@ -72,8 +72,9 @@ def _counts(docs: DataFrame, parts: int) -> DataFrame:
 
 def _scored(docs: DataFrame, sums: DataFrame, parts: int, n_words: int) -> DataFrame:
     def each(docs_table: pa.Table, sums_table: pa.Table) -> pa.Table:
-        texts = [(t or "").encode() for t in docs_table.column("text").to_pylist()]
-        grams = Block(texts)
+        ids, texts = texts_of(docs_table)
+        grams, n_texts = Block(texts), len(texts)
+        del texts
         others = []  # for each order, by place: how often the n-gram that starts there stands in other documents
         for order in range(1, ORDER + 1):
             places, keys = grams.grams(order)
@@ -94,11 +95,11 @@ def _scored(docs: DataFrame, sums: DataFrame, parts: int, n_words: int) -> DataF
             bigram = bi / before(one, 1) * BACKOFF ** (here >= 2)
             trigram = tri / before(two, 2)
         log = np.log(np.where(tri > 0, trigram, np.where(bi > 0, bigram, unigram)))
-        add = lambda x: np.bincount(grams.doc, weights=x, minlength=len(texts)).astype(np.float64)
+        add = lambda x: np.bincount(grams.doc, weights=x, minlength=n_texts).astype(np.float64)
         score = add(log)
         cols = [grams.lengths, add(tri > 0).astype(np.int64), add((tri == 0) & (bi > 0)).astype(np.int64), score]
         mean = pa.array(score / np.maximum(grams.lengths, 1), mask=grams.lengths == 0)
-        return pa.table([docs_table.column("doc_id").combine_chunks(), *(pa.array(c) for c in cols), mean], names=[f.split()[0] for f in SCORES.split(", ")])
+        return pa.table([ids, *(pa.array(c) for c in cols), mean], names=[f.split()[0] for f in SCORES.split(", ")])
 
     return docs.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(each, SCORES)
 
@@ -114,5 +115,5 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     chars, n_words = total[0] or 0, total[1] or 0
     blocks = max(12, -(-chars // block_chars))
     parts = max(12, -(-n_words // part_keys))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
+    rows = blocked(rows, blocks)
     return _scored(rows, _counts(rows, parts).groupBy("part").applyInArrow(sum_rows, SENT), parts, n_words)

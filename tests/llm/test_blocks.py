@@ -7,7 +7,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.llm.blocks import block_table, by_part, count_rows, pack, sum_rows, sums_in_order, unpack
+from tessera.llm.blocks import block_table, blocked, by_part, count_rows, pack, sum_rows, sums_in_order, texts_of, unpack
 
 
 @settings(max_examples=100, deadline=None)
@@ -30,3 +30,14 @@ def test_answers_are_the_sums_of_all_blocks(blocks, parts):
         _, place = np.unique(by_part(spread(ks), parts), return_inverse=True)
         mine = sums_in_order(table.filter(pa.compute.equal(table.column("block"), i)), 0, parts)
         assert [int(mine[p]) for p in place] == [total[k] for k in ks]
+
+
+def test_texts_of_blocks_come_back(spark):
+    rows = [(i, t) for i, t in enumerate(["", None, "é" * 50, "x" * 100_000, " a\n"] * 7)] + [(None, "no id"), (None, None)]
+    sent = blocked(spark.createDataFrame(rows, "id long, text string").repartition(3), 4).toArrow()
+    back = []
+    for b in set(sent.column("block").to_pylist()):
+        ids, texts = texts_of(sent.filter(pa.compute.equal(sent.column("block"), b)))
+        back += zip(ids.to_pylist(), texts, strict=True)
+    assert sorted(back, key=repr) == sorted(((i, (t or "").encode()) for i, t in rows), key=repr)
+    assert blocked(spark.createDataFrame([], "id long, text string"), 4).count() == 0

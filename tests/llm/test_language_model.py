@@ -52,7 +52,7 @@ def test_words_whose_hashes_agree_in_the_low_bits_are_counted_apart(monkeypatch)
     import pyarrow.compute as pc
 
     from tessera.llm import language_model
-    from tessera.llm.blocks import sum_rows, sums_in_order
+    from tessera.llm.blocks import pack, sum_rows, sums_in_order
 
     keys = np.array([(1 << 41) + 5, (1 << 42) + 5, (1 << 42) + 5, (1 << 63) + 5], np.uint64)
     monkeypatch.setattr(language_model.Block, "grams", lambda self, order: (np.arange(4), keys))
@@ -62,7 +62,8 @@ def test_words_whose_hashes_agree_in_the_low_bits_are_counted_apart(monkeypatch)
             return self
 
         def applyInArrow(self, each, _):
-            return each(pa.table({"block": [0], "text": ["a b c d"]}))
+            numbers = pack(np.zeros(1, "<i8"), np.ones(1, "u1"), np.full(1, 7, "<i8"))
+            return each(pa.table({"block": [0], "n": [1], "size": [7], "numbers": [numbers], "texts": [pa.compress(b"a b c d", codec="zstd", asbytes=True)]}))
 
     sent = language_model._counts(Docs(), 3)
     sums = [sum_rows(sent.filter(pc.equal(sent.column("part"), p))) for p in range(3) if p in sent.column("part").to_pylist()]
