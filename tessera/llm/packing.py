@@ -6,7 +6,8 @@ longest other large piece that still fits. The small pieces then go, longest fir
 Only lengths matter to the plan, and a length is at most the capacity: the driver packs a histogram of ``capacity``
 counts, whatever the corpus. The plan is a list of bin patterns with the number of bins of each; pieces are ranked
 within their length and take the plan's places in that order. No step sees the pieces of a length in one task:
-ranks are built from hash buckets, each with its offset.
+ranks are built from hash buckets, whose number grows with the pieces, each with its offset. A rank finds its run of the
+plan by an equi-join on the cell of the length's ranks that it lies in.
 """
 
 from __future__ import annotations
@@ -26,7 +27,10 @@ from .scratch import Scratch
 
 CAPACITY = 2048
 END_ID = 0
-BUCKETS = 1024
+#: Pieces of a length are ranked in buckets of about so many rows of the whole table.
+BUCKET_ROWS = 1 << 16
+MIN_BUCKETS = 8
+CELLS = 64
 #: Texts with other characters, or the special token, are tokenised by the tokenizers library itself.
 PLAIN = re.compile(r"[\x00-ɏ‐-‧]*")
 
@@ -139,37 +143,38 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tupl
     return [run for gap in sorted(room) for run in room[gap]]
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", json_path: str | None = None, ranks_path: str | None = None, buckets: int = BUCKETS) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", json_path: str | None = None, ranks_path: str | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null or empty text is a document of its end id alone. Repeated rows are packed each; an empty table gives an
-    empty result; a null doc_id stays null. Other columns aren't read.
+    empty result; a null doc_id stays null. Other columns aren't read. Which of equally long pieces lies where is left open.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "pack")
     cut = pieces(docs, json_path or vocabulary("byte_bpe_50k.json"), ranks_path or vocabulary("byte_bpe_50k.tiktoken"), capacity, id_col, text_col)
-    keyed = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
-    cut = scratch.keep(keyed, "pieces")
+    cut = scratch.keep(cut.withColumn("rid", F.monotonically_increasing_id()), "pieces")
+    buckets = max(MIN_BUCKETS, -(-cut.count() // bucket_rows))
+    cut = cut.withColumn("bucket", F.pmod(F.xxhash64("rid"), F.lit(buckets)))
     counts = scratch.keep(cut.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")), "counts")
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # at most `capacity` rows
-    slots: list[tuple[int, int, int, int, int, int]] = []  # length, first rank, ranks, places a bin, first bin, first offset
+    slots: list[tuple[int, int, int, int, int, int, int]] = []  # length, cell, first rank, last, places a bin, first bin, first offset
     taken: dict[int, int] = defaultdict(int)
     first_bin = 0
     for lengths, times in plan(histogram, capacity):
         offset = 0
         for n in dict.fromkeys(lengths):
-            each = lengths.count(n)
-            slots.append((n, taken[n], each * times, each, first_bin, offset))
-            taken[n] += each * times
+            each, r0 = lengths.count(n), taken[n]
+            last = r0 + each * times - 1
+            slots += [(n, cell, r0, last, each, first_bin, offset) for cell in range(r0 * CELLS // histogram[n], last * CELLS // histogram[n] + 1)]
+            taken[n] = last + 1
             offset += n * each
         first_bin += times
-    table = spark.createDataFrame(slots or [(0, 0, 0, 1, 0, 0)], "length long, r0 long, ranks long, each long, bin0 long, off0 long")
-    # Ranges of ranks are found by the last range that starts at or before a rank: an array per length, of its runs.
-    runs = table.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("r0", "each", "bin0", "off0"))).alias("runs"))
+    # A run of the plan stands in each cell of its length's ranks that it touches: at most CELLS rows a length beside one a run.
+    runs = spark.createDataFrame(slots or [(0, 0, 0, 0, 1, 0, 0)], "length long, cell long, r0 long, r1 long, each long, bin0 long, off0 long")
+    sizes = spark.createDataFrame(list(histogram.items()) or [(0, 1)], "length long, total long")
     earlier = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("length", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    inner = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32", "start")
+    offsets = counts.select("length", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")).join(F.broadcast(sizes), "length")  # at most `capacity` rows
+    inner = Window.partitionBy("length", "bucket").orderBy("rid")
     ranked = cut.withColumn("i", F.row_number().over(inner) - 1).join(offsets, ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("i"))
-    placed = ranked.join(F.broadcast(runs), "length")  # a row per length: at most `capacity`
-    run = F.expr("element_at(filter(runs, x -> x.r0 <= rank), -1)")
-    placed = placed.withColumn("run", run).withColumn("k", F.col("rank") - F.col("run.r0"))
-    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("run.bin0") + F.floor(F.col("k") / F.col("run.each"))).cast("long").alias("sequence_id"), (F.col("run.off0") + F.pmod(F.col("k"), F.col("run.each")) * F.col("length")).cast("long").alias("offset"))
+    ranked = ranked.withColumn("cell", F.expr(f"rank * {CELLS} div total"))
+    placed = ranked.join(runs, ["length", "cell"]).where("rank BETWEEN r0 AND r1").withColumn("k", F.col("rank") - F.col("r0"))
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("bin0") + F.floor(F.col("k") / F.col("each"))).cast("long").alias("sequence_id"), (F.col("off0") + F.pmod(F.col("k"), F.col("each")) * F.col("length")).cast("long").alias("offset"))

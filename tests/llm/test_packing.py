@@ -88,3 +88,34 @@ def test_both_tokenizers_agree_on_plain_texts():
         text = "".join(rng.choice(tricky if k % 2 else every) for _ in range(rng.randint(0, 40)))
         assert PLAIN.fullmatch(text)
         assert encoder.fast.encode_to_numpy(text).tolist() == encoder.exact.encode(text, add_special_tokens=False).ids
+
+
+def one_by_one(lengths, capacity):
+    """The plan's rules for single pieces: gaps of the bins, in order."""
+    large, gaps = sorted(n for n in lengths if 3 * n > capacity), []
+    while large:
+        top = large.pop()
+        mates = [i for i, n in enumerate(large) if top + n <= capacity]
+        gaps.append(capacity - top - (large.pop(mates[-1]) if mates else 0))
+    for n in sorted((n for n in lengths if 3 * n <= capacity), reverse=True):
+        fits = [i for i, gap in enumerate(gaps) if gap >= n]
+        if fits:
+            at = min(fits, key=lambda i: gaps[i])
+            gaps[at] -= n
+        else:
+            gaps.append(capacity - n)
+    return sorted(gaps)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.dictionaries(st.integers(1, 60), st.integers(1, 12), max_size=25))
+def test_plan_is_that_of_single_pieces(histogram):
+    lengths = [n for n, c in histogram.items() for _ in range(c)]
+    assert sorted(60 - sum(bin_) for bin_, times in plan(histogram, 60) for _ in range(times)) == one_by_one(lengths, 60)
+
+
+def test_many_buckets_and_copies_of_one_document(spark):
+    rows = [(1, "a b c " * 40)] * 300 + [(i, "d " * (i % 50)) for i in range(2, 200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for bucket_rows in (1, 1000):
+        check(pack(df, capacity=130, bucket_rows=bucket_rows).collect(), rows, 130)
