@@ -21,7 +21,9 @@ from .scratch import Scratch, fresh_names
 WEIGHTS = (5, 2, 1)
 MOST_TIMES = 3
 SLOTS = 1 << 18
-BUCKETS = 256
+#: A source's line is laid out in buckets of about so many rows of the whole table.
+BUCKET_ROWS = 1 << 16
+MIN_BUCKETS = 8
 CHUNK = 1 << 12
 GOLDEN = 0.6180339887498949
 WORD = r"[^\x20\x09-\x0D]+"
@@ -67,7 +69,7 @@ def schedule(targets: DataFrame, slots: int = SLOTS, chunk: int = CHUNK) -> Data
     return hit.withColumn("i", inner).join(offsets, ["ord", "chunk"]).select("t", "ord", (F.col("off") + F.col("i")).alias("rank"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most_times: int = MOST_TIMES, slots: int = SLOTS, buckets: int = BUCKETS) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most_times: int = MOST_TIMES, slots: int = SLOTS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, text_hash.
 
     Null texts count as empty (size 0, taken 0); a null source is a source of its own, ordered last; an empty table
@@ -77,7 +79,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     scratch = Scratch(docs.sparkSession, "mix")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(text).alias("text_hash"))
-    rows = scratch.keep(rows.withColumn("h", F.xxhash64("doc_id", "text_hash")).withColumn("bucket", F.pmod(F.shiftright("h", 20), F.lit(buckets))), "rows")
+    rows = scratch.keep(rows.withColumn("h", F.xxhash64("doc_id", "text_hash")), "rows")
+    buckets = max(MIN_BUCKETS, -(-rows.count() // bucket_rows))
+    rows = rows.withColumn("bucket", F.pmod(F.shiftright("h", 20), F.lit(buckets)))
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     sums = scratch.keep(sums, "sums")
     targets = scratch.keep(source_targets(sums.groupBy("source").agg(F.sum("n").alias("source_size")), weights, most_times), "targets")
@@ -112,7 +116,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The documents as often as the mix takes them (words taken over size, rounded to whole documents)."""
+    """The documents as often as the mix takes them (words taken over size, rounded to whole documents).
+
+    Documents that it takes less than half of go, and so do those without words, null texts among them: a mix of words holds
+    none of theirs. Rows that repeat, id and text, share what all of them take, each rounded up. Null ids and sources are
+    values like others; an empty table gives an empty one; other columns stay as they are.
+    """
     cols = docs.columns
     key, id_, hash_, times, copy = fresh_names(docs, "key", "id", "hash", "times", "copy")
     taken = mix(docs, id_col, text_col, source_col).withColumn("copies", F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + F.lit(0.5)))

@@ -58,7 +58,7 @@ def test_documents(spark):
 
 def test_edge_rows(edge, edge_rows):
     check(mix(edge).collect(), edge_rows, 8)
-    check(mix(edge, slots=512, buckets=3).collect(), edge_rows, 8 * 200)
+    check(mix(edge, slots=512, bucket_rows=3).collect(), edge_rows, 8 * 200)
 
 
 def test_targets_settle_like_rounds_of_resharing(spark):
@@ -97,3 +97,40 @@ def test_rows_stay_whole(irregular, empty):
     assert mix(df).count() == len(rows) and mix(empty).count() == 0
     assert mixed_documents(df).columns == df.columns and mixed_documents(empty).count() == 0
     assert max(Counter(r["doc_id"] for r in mixed_documents(df).collect() if r["doc_id"] not in (None, rows[3][0], rows[5][0])).values()) <= 3
+
+
+def test_taken_against_brute_force(edge, edge_rows):
+    """A source's documents stand in a line by hash, again and again; the words up to the target are taken."""
+    from pyspark.sql import functions as F
+
+    hashes = {r[0]: r[1] for r in edge.select("doc_id", F.xxhash64("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))))).collect()}
+    for bucket_rows in (5, 1 << 16):
+        buckets = max(8, -(-len(edge_rows) // bucket_rows))
+        found = {r["doc_id"]: r for r in mix(edge, bucket_rows=bucket_rows).collect()}
+        for source in {r[3] for r in edge_rows}:
+            own = sorted((((hashes[r[0]] >> 20) % buckets, hashes[r[0]], r[0]) for r in edge_rows if r[3] == source))
+            size = {i: found[i]["size"] for _, _, i in own}
+            left = min(int(found[own[0][2]]["target"] + 0.5), 3 * sum(size.values()))
+            taken = dict.fromkeys(size, 0)
+            for _ in range(3):
+                for _, _, i in own:
+                    n = min(left, size[i])
+                    taken[i] += n
+                    left -= n
+            assert {i: found[i]["taken"] for i in size} == taken, (source, bucket_rows)
+
+
+def test_a_source_a_thousandth_of_a_block(spark):
+    rows = [(i, "w " * 1000, None, "big") for i in range(200)] + [(1000 + i, "v " * 20, None, "small") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = mix(df, slots=2).collect()
+    assert sum(r["taken"] for r in found if r["doc_id"] >= 1000) == 300
+
+
+def test_mixed_documents_of_odd_tables(irregular, empty, spark):
+    df, rows = irregular
+    out = mixed_documents(df)
+    assert out.columns == df.columns and mixed_documents(empty).count() == 0
+    known = Counter((r[0], r[1]) for r in rows)
+    made = Counter((r["doc_id"], r["text"]) for r in out.collect())
+    assert made and all((t or "").split() and n <= 3 * known[i, t] for (i, t), n in made.items())
