@@ -12,7 +12,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, comp) of every node of edges (a, b): comp is the smallest node it is connected with.
 
     Each round takes the least label among neighbours (pre-aggregated before the shuffle) and then the label of that
-    label. Labels only fall, and each round is a written table. Edges within a component are dropped as they arise.
+    label. Labels only fall. Each round is a written table, and goes when the next one stands.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     both = scratch.keep(both, f"{name}-edges")
@@ -26,6 +26,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         jump = labels.select(F.col("node").alias("via"), F.col("comp").alias("beyond"))
         now = near.join(jump, "via", "left").select("node", "old", F.least("via", F.coalesce("beyond", "via")).alias("comp"))
         now = scratch.keep(now, f"{name}-{round_}")
+        scratch.drop(f"{name}-{round_ - 1}")
         moved = not now.where("comp <> old").isEmpty()
         labels = now.select("node", "comp")
+    scratch.drop(f"{name}-edges")
     return labels

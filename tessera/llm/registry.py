@@ -156,9 +156,68 @@ FROM d LEFT JOIN totals USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
 
+# What SQL can state of the results of 3, 5, 6 and 8: the same operators, the columns that don't depend on models, hashing
+# or a schedule.
+
+
+def base_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def base_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def base_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def base_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+BASE_SECRETS_SQL = r"""
+SELECT doc_id,
+       len(list_filter(regexp_extract_all(coalesce(text, ''), '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 6)) AS n_assign,
+       len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) AS n_access,
+       len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 24)) AS n_hex
+FROM documents
+"""
+
+BASE_LICENSES_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+p AS (SELECT doc_id, len(ws) AS n_words,
+        list_filter(range(len(ws)), lambda i: ws[i + 1] = 'cc' AND ws[i + 2] = 'by') AS c,
+        list_filter(range(len(ws)), lambda i: ws[i + 1] = 'general' AND ws[i + 2] = 'public' AND ws[i + 3] = 'license') AS g,
+        list_filter(range(len(ws)), lambda i: ws[i + 1] = 'all' AND ws[i + 2] = 'rights' AND ws[i + 3] = 'reserved') AS r FROM w)
+SELECT doc_id, n_words, len(c) + len(g) + len(r) AS n_base, list_min(list_concat(c, g, r)) AS first_word, list_max(list_concat(c, g, r)) AS last_word,
+       concat_ws(',', CASE WHEN len(c) > 0 THEN 'cc-by' END, CASE WHEN len(g) > 0 THEN 'gpl' END, CASE WHEN len(r) > 0 THEN 'reserved' END) AS base_labels
+FROM p
+"""
+
+BASE_FINGERPRINTS_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id), first_value(coalesce(text, '')) OVER (ORDER BY doc_id)) AS f FROM documents)
+SELECT doc_id, length(t) AS n_chars, sha256(substring(t, 1, length(t) - length(t) // 2) || substring(f, 1, length(t) // 2)) AS edited_sha256 FROM d
+"""
+
+BASE_MIXING_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+o AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM s),
+c AS (SELECT *, 3 * source_size / weight AS ratio FROM o),
+-- The level at which targets weigh up to the whole, if those sources are capped whose cap lies below it.
+l AS (SELECT a.ratio, ((SELECT sum(source_size) FROM s) - coalesce(sum(3 * b.source_size) FILTER (WHERE b.ratio < a.ratio), 0)) / sum(b.weight) FILTER (WHERE b.ratio >= a.ratio) AS level FROM c AS a CROSS JOIN c AS b GROUP BY a.source, a.ratio),
+v AS (SELECT arg_min(level, ratio) FILTER (WHERE level < ratio) AS level FROM l)
+SELECT doc_id, size, source_size, round(CASE WHEN ratio <= (SELECT level FROM v) OR (SELECT level FROM v) IS NULL THEN 3 * source_size ELSE weight * (SELECT level FROM v) END, 3) AS target
+FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source
+"""
+
+BASE = {"base_secrets": (base_secrets, BASE_SECRETS_SQL), "base_licenses": (base_licenses, BASE_LICENSES_SQL), "base_fingerprints": (base_fingerprints, BASE_FINGERPRINTS_SQL), "base_mixing": (base_mixing, BASE_MIXING_SQL)}
+
+
 def queries() -> dict:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_quality": op2_quality, "op3_secrets": op3_secrets, "op4_packing": op4_packing, "op5_licenses": op5_licenses, "op6_fingerprints": op6_fingerprints, "op7_suffix_dedup": op7_suffix_dedup, "op8_mixing": op8_mixing, "op9_lm_scores": op9_lm_scores, "op10_jaccard_join": op10_jaccard_join}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_quality": op2_quality, "op3_secrets": op3_secrets, "op4_packing": op4_packing, "op5_licenses": op5_licenses, "op6_fingerprints": op6_fingerprints, "op7_suffix_dedup": op7_suffix_dedup, "op8_mixing": op8_mixing, "op9_lm_scores": op9_lm_scores, "op10_jaccard_join": op10_jaccard_join} | {name: build for name, (build, _) in BASE.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op7_suffix_dedup": OP7_SQL, "op9_lm_scores": OP9_SQL, "op10_jaccard_join": OP10_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op7_suffix_dedup": OP7_SQL, "op9_lm_scores": OP9_SQL, "op10_jaccard_join": OP10_SQL} | {name: sql for name, (_, sql) in BASE.items()}

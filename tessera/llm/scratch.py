@@ -3,29 +3,14 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where none is configured (tests, local mode)."""
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    made = getattr(shared_dir, "made", None)
-    if made is None:
-        made = shared_dir.made = "file://" + tempfile.mkdtemp(prefix="tessera-")
-    return made
+from ..sources.scratch import delete, shared_dir
 
-
-def _delete(spark: SparkSession, path: str) -> None:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+_OWN: list[tuple[SparkSession, str]] = []
 
 
 def fresh_names(df: DataFrame, *names: str) -> list[str]:
@@ -59,13 +44,13 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         for name in names:
-            _delete(self.spark, f"{self.base}/{name}")
+            delete(self.spark, f"{self.base}/{name}")
 
 
 @atexit.register
 def _clear() -> None:
     for spark, base in _OWN:
         try:
-            _delete(spark, base)
+            delete(spark, base)
         except Exception:  # the session has ended already: the folder's owner clears it
             return
