@@ -3,8 +3,8 @@
 run() hands the documents of sf_dir to the first stage, writes what a stage returns as Parquet in the shared checkpoint
 folder and rereads it as the next one's input. All stages but the last return the columns of documents.
 
-A null text is an empty one throughout, an empty table passes as an empty one, extra columns stay, repeated rows are
-copies of one another to the deduplicating stages.
+A null text is an empty one throughout (mixing, which takes words, takes none of it), an empty table passes as an empty
+one, extra columns stay, repeated rows are copies of one another to the deduplicating stages.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from tessera.llm.jaccard_join import drop_near
 from tessera.llm.mixing import mixed_documents
 from tessera.llm.packing import pack
 from tessera.llm.quality import keep_good
+from tessera.llm.registry import ship
 from tessera.llm.scratch import Scratch
 
 
@@ -51,6 +52,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
