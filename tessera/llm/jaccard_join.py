@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import SENT, block_table, by_part, count_rows, sum_rows, sums_in_order
+from .blocks import SENT, block_table, blocked, by_part, count_rows, sum_rows, sums_in_order, texts_of
 from .components import components
 from .scratch import Scratch, fresh_names, has_irregular_ids
 from .shingles import WIDTH, mix64, shingle_sets
@@ -54,7 +54,7 @@ def _summary(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _of_texts(width: int):
-    return lambda texts: shingle_sets([(t or "").encode() for t in texts], width)
+    return lambda texts: shingle_sets(texts, width)
 
 
 def _of_tokens(packed: list[bytes]) -> Iterator[np.ndarray]:
@@ -73,17 +73,17 @@ def _shared_shingles(rows: DataFrame, sets_of, known: DataFrame, total: int, nee
     """
     blocks, parts = max(12, -(-total // BLOCK_SHINGLES)), max(12, -(-total // PART_SHINGLES))
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
-    held = rows.toDF("doc_id", "x").withColumn("block", block("doc_id"))
+    held = blocked(rows, blocks, by_id=True)
 
     def counts(table: pa.Table) -> pa.Table:
-        keys = [np.zeros(0, np.uint64), *sets_of(table.column("x").to_pylist())]
+        keys = [np.zeros(0, np.uint64), *sets_of(texts_of(table)[1])]
         return block_table(count_rows(table.column("block")[0].as_py(), by_part(np.concatenate(keys), parts), parts))
 
     def select(table: pa.Table, answers: pa.Table) -> pa.Table:
         ids = answers.filter(pa.compute.is_valid(answers.column("doc_id")))
         n_of = dict(zip(ids.column("doc_id").to_pylist(), ids.column("shingles").to_pylist(), strict=True))
-        own = table.column("doc_id").to_pylist()
-        sets = list(sets_of(table.column("x").to_pylist()))
+        ids, texts = texts_of(table)
+        own, sets = ids.to_pylist(), list(sets_of(texts))
         keys = np.concatenate([np.zeros(0, np.uint64), *sets])
         _, place = np.unique(by_part(keys, parts), return_inverse=True)
         df = sums_in_order(answers.filter(pa.compute.is_valid(answers.column("packed"))), 0, parts)[place] if len(keys) else place
