@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators.relational import asof_join, limit_percent, positional_join
 from ..session import reset_option, set_option
 from ..sources.pins import Pins
+from ..sources.scratch import delete, shared_dir
 from ..sources.tables import Tables, read_parquet, write_csv, write_json, write_parquet
 from . import dialect
 
@@ -113,6 +115,7 @@ class Engine:
     """SQL by text, labels for the job log, pinned tables, prepared statements, options."""
 
     _count = 0
+    _tables: dict[str, str] = {}  # folders of tables made by CREATE TABLE, of all engines
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark, self.pins = spark, Pins(spark)
@@ -166,9 +169,20 @@ class Engine:
         if kind == "VIEW":
             (df.createOrReplaceTempView if replace else df.createTempView)(name)
         else:
-            df.write.mode("overwrite" if replace else "error").format("parquet").saveAsTable(name)
+            if self.spark.catalog.tableExists(name):
+                if not replace:
+                    raise dialect.DialectError(f"table {name} exists")
+                self._forget(name)
+            # A folder of its own: what an earlier session left in the warehouse under this name is no hindrance.
+            path = self._tables[name] = f"{shared_dir(self.spark)}/tessera/table-{name}-{uuid.uuid4().hex[:12]}"
+            df.write.format("parquet").option("path", path).saveAsTable(name)
         return self._done(f"{kind.lower()} {name}")
 
+    def _forget(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        if name in self._tables:
+            delete(self.spark, self._tables.pop(name))
+
     def _insert(self, text: str, args: dict) -> DataFrame:
         m = re.match(r"\s*INSERT\s+INTO\s+([\w.]+|\"[^\"]+\")\s*(\([^()]*\))?\s*(.*)$", text, re.IGNORECASE | re.DOTALL)
         if not m:
@@ -207,8 +221,10 @@ class Engine:
         m = re.match(r"\s*DROP\s+(TABLE|VIEW)\s+(?:IF\s+EXISTS\s+)?([\w.]+)", text, re.IGNORECASE)
         if not m:
             raise dialect.DialectError("DROP a TABLE or a VIEW")
-        if not (m[1].upper() == "VIEW" and self.spark.catalog.dropTempView(m[2])):
-            self.spark.sql(f"DROP {m[1].upper()} IF EXISTS {m[2]}")
+        if m[1].upper() == "TABLE":
+            self._forget(m[2])
+        elif not self.spark.catalog.dropTempView(m[2]):
+            self.spark.sql(f"DROP VIEW IF EXISTS {m[2]}")
         return self._done(m[2])
 
     def _prepare(self, text: str, args: dict) -> DataFrame:
