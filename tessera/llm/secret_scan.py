@@ -142,7 +142,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_
 
 
 def redact(docs: DataFrame, mark: str = "[REDACTED]", id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None) -> DataFrame:
-    """The documents with every span of either way replaced by mark; a null text stays null."""
+    """The documents with every span of either way replaced by mark; spans that overlap share one.
+
+    A null text stays null, an empty one empty; repeated rows are treated each; an empty table gives an empty one; other
+    columns, whatever their names, and ids, null or not, stay as they are.
+    """
     if ranks_path is None:
         import public_tokenizers
 

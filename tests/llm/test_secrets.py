@@ -68,3 +68,14 @@ def test_method_adds_spans_and_redacts(edge, edge_rows):
 def test_rows_stay_whole(irregular, empty):
     df, rows = irregular
     assert secret_report(df).count() == len(rows) and secret_report(empty).count() == 0
+
+
+def test_redacting_odd_tables(irregular, empty):
+    df, rows = irregular
+    out = redact(df)
+    assert out.columns == df.columns and redact(empty).count() == 0
+    found = out.collect()
+    assert len(found) == len(rows) and sum(r["text"] is None for r in found) == sum(r[1] is None for r in rows)
+    assert not any("04dbebab91ab85687d33eeaaf9ac699e1188f962" in (r["text"] or "") for r in found) and any("[REDACTED]" in (r["text"] or "") for r in found)
+    untouched = {r[1] for r in rows if r[1] is not None and "=" not in r[1] and len(r[1]) < 2000 and not any(k in r[1].lower() for k in ("akia", "secret", "token", "pass", "dead"))}
+    assert {r["text"] for r in found} >= {t for t in untouched if len(t) < 300 and "x" * 20 not in t}
