@@ -6,20 +6,25 @@ both copies of a repeated string lie around an anchor that stands twice.
 
 1. Each block of documents counts its anchors in hash partitions (a few bytes each), and learns which repeat.
 2. Around each repeated anchor all strings of LENGTH with that anchor form a context of 2 * LENGTH - GRAM bytes. Contexts
-   that are equal within a block go there and then, all but the first. Each other one goes on in two halves: strings that
-   start in one half all have a core of bytes in common, and each half goes to the hash partition of its core.
-3. A partition drops half contexts that are equal to an earlier one. Those left that share a core with another are sorted by
+   that are equal within a block go there and then, all but the first. Each other one goes on in two pieces: strings that
+   start in one piece all have a core of bytes in common, and each piece goes to the hash partition of its core. Around an
+   anchor that very many documents share there are 8 pieces, or a piece for each string, whose core is the string itself:
+   then only equal strings meet, one of each block.
+3. A partition drops pieces that are equal to an earlier one. Those left that share a core with another are sorted by
    their suffixes (suffixes.suffix_array: sampled triples, recursion on names, merge), and adjacent suffixes are compared
    over LENGTH bytes. All but the earliest of equal strings are repeats.
 4. The blocks merge the repeats of their documents and cut them out.
 
+Equality is always that of bytes: hashes only gather what is then compared.
+
 Scale: texts are shuffled into blocks once, for all uses. A passage that many documents share costs a block one context a
-place, and a common line meets in one task only where it has more than 60 bytes. Partitions sort in chunks of whole cores.
-No count or list passes the driver.
+place. No core has more rows than TIERS[1], however common a line is. Partitions sort in chunks of whole cores. No count or
+list passes the driver.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Iterator
 
@@ -28,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import SENT, block_table, by_part, count_rows, pack, sum_rows, sums_in_order, unpack
+from .blocks import SENT, block_table, blocked, by_part, count_rows, pack, sum_rows, sums_in_order, texts_of, unpack
 from .scratch import Scratch, has_irregular_ids
 from .shingles import SLICE_BYTES, mix64, slices
 from .suffixes import suffix_array
@@ -38,6 +43,8 @@ GRAM = 32
 BLOCK_BYTES = 10_000_000
 PART_BYTES = 3_000_000
 CHUNK_CONTEXTS = 2048
+#: An anchor that stands more often than this in the corpus has its contexts cut into 8 pieces, or into single strings.
+TIERS = (65_536, 262_144)
 BEFORE, AFTER = 0xFF, 0xFE  # bytes that UTF-8 never has: beyond a document's start and end
 _LETTER = np.random.default_rng(1).integers(0, 1 << 63, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
@@ -83,8 +90,8 @@ class Documents:
     """The texts of a block that have strings of length at all, in slices with a gap after each text."""
 
     def __init__(self, table: pa.Table, length: int, gram: int):
-        self.ids = table.column("uid").to_numpy()
-        self.texts = [(t or "").encode() for t in table.column("text").to_pylist()]
+        ids, self.texts = texts_of(table)
+        self.ids = ids.to_numpy()
         self.length, self.gram = length, gram
 
     def slices(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -125,11 +132,20 @@ def _bounds(contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (contexts == BEFORE).sum(axis=1), contexts.shape[1] - (contexts == AFTER).sum(axis=1)
 
 
-def _first_of_equal(h: np.ndarray, uid: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Whether a row is the earliest with its hash."""
+def _first_of_equal(rows: np.ndarray, uid: np.ndarray, at: np.ndarray, hashes: np.ndarray | None = None) -> np.ndarray:
+    """Whether a row is the earliest of those with its bytes. Rows are gathered by hash, and compared byte by byte.
+
+    A row that shares a hash with an earlier one and differs in bytes counts as a first one.
+    """
+    h = _row_hash(rows) if hashes is None else hashes
     order = np.lexsort((at, uid, h))
+    heads = np.diff(h[order], prepend=~h[order[:1]]) != 0
     out = np.zeros(len(h), bool)
-    out[order[np.diff(h[order], prepend=~h[order[:1]]) != 0]] = True
+    out[order[heads]] = True
+    head = order[np.maximum.accumulate(np.where(heads, np.arange(len(order)), 0))]
+    for a in range(0, len(order), 1 << 16):  # some at a time
+        mine = order[a : a + (1 << 16)]
+        out[mine[(rows[mine] != rows[head[a : a + (1 << 16)]]).any(axis=1)]] = True
     return out
 
 
@@ -167,14 +183,25 @@ def _sorted_repeats(cols: np.ndarray, uid: np.ndarray, start: np.ndarray, length
     return out
 
 
-def _halves(length: int, gram: int) -> tuple[tuple[int, int], tuple[int, int]]:
-    """First and last column where strings of a context start, in two halves: each half's strings share the core between."""
-    side = length - gram
-    return (0, side - side // 2), (side - side // 2, side)
+def _pieces(length: int, gram: int, parts: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """(tier, first and last column where its strings start, first partition, partitions) of each piece; the partitions of all.
+
+    The strings of a piece share the core between; the more pieces a tier has, the longer it is. In the last tier a piece is
+    one start, and its string the core. The pieces of a tier share out as many partitions as there are parts.
+    """
+    starts = length - gram + 1
+    out, at = [], 0
+    for tier, n in enumerate((2, min(8, starts), starts)):
+        edges = [round(k * starts / n) for k in range(n + 1)]
+        own = parts if tier == 0 else -(-parts // n)
+        for a, b in zip(edges, edges[1:], strict=False):
+            out.append((tier, a, b - 1, at, own))
+            at += own
+    return out, at
 
 
 def _repeats(cols: np.ndarray, uid: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
-    """(rows, width - length + 1) of distinct half contexts: where strings start that also start earlier.
+    """(rows, width - length + 1) of distinct pieces of contexts: where strings start that also start earlier.
 
     Only rows that agree on the core, the bytes that all their strings have, can have a string in common.
     """
@@ -225,8 +252,12 @@ def _context_table(rows: list[tuple]) -> pa.Table:
     return pa.table({name: pa.array(c, t) for name, c, t in zip(("part", "block", "n", "packed", "contexts"), cols, kinds, strict=True)})
 
 
-def _contexts(docs: DataFrame, sums: DataFrame, parts: int, length: int, gram: int) -> DataFrame:
-    """Half contexts of repeated anchors for their cores' partitions; and spans known to go, for partition 2 * parts + block."""
+def _contexts(docs: DataFrame, sums: DataFrame, parts: int, length: int, gram: int, tiers: tuple[int, int]) -> DataFrame:
+    """Pieces of the contexts of repeated anchors, for their cores' partitions; and spans known to go, for partitions beyond.
+
+    How often an anchor stands in the corpus decides the tier, and so how many pieces there are: all blocks agree on it.
+    """
+    pieces, beyond = _pieces(length, gram, parts)
 
     def each(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -238,32 +269,43 @@ def _contexts(docs: DataFrame, sums: DataFrame, parts: int, length: int, gram: i
             return _context_table([])
         keys = by_part(np.concatenate([s[-1] for s in found]), parts)
         _, place = np.unique(keys, return_inverse=True)
-        repeated = sums_in_order(answers, 0, parts)[place] > 1
+        total = sums_in_order(answers, 0, parts)[place]
+        repeated = total > 1
         at0, kept = 0, []
         for data, doc, start, end, at, _ in found:
             own = repeated[at0 : at0 + len(at)]
             at0 += len(at)
-            kept.append((docs_.ids[doc[own]], at[own] - start[own], docs_.contexts(data, start[own], end[own], at[own])))
+            tier = np.searchsorted(tiers, total[at0 - len(at) : at0][own])
+            kept.append((docs_.ids[doc[own]], at[own] - start[own], tier, docs_.contexts(data, start[own], end[own], at[own])))
         del found
-        uid, at, ctx = (np.concatenate(c) for c in zip(*kept, strict=True))
+        uid, at, tier, ctx = (np.concatenate(c) for c in zip(*kept, strict=True))
+        del kept
         lo, hi = _bounds(ctx)
         some = hi - lo >= length
-        uid, at, ctx, lo, hi = (x[some] for x in (uid, at, ctx, lo, hi))
+        uid, at, tier, ctx, lo, hi = (x[some] for x in (uid, at, tier, ctx, lo, hi))
         if not len(uid):
             return _context_table([])
-        kept_here = _first_of_equal(_row_hash(ctx), uid, at)
+        kept_here = _first_of_equal(ctx, uid, at)
         base, gone = at - (length - gram), ~kept_here
-        rows = [_pack_spans(2 * parts + block, block, uid[gone], (base + lo)[gone], (base + hi)[gone])] if gone.any() else []
-        for k, (first, last) in enumerate(_halves(length, gram)):
-            mine = np.flatnonzero(kept_here & (np.maximum(lo, first) <= np.minimum(hi - length, last)))
+        rows = [_pack_spans(beyond + block, block, uid[gone], (base + lo)[gone], (base + hi)[gone])] if gone.any() else []
+        for t, first, last, part0, n_parts in pieces:
+            mine = np.flatnonzero(kept_here & (tier == t) & (np.maximum(lo, first) <= np.minimum(hi - length, last)))
+            if not len(mine):
+                continue
+            if t:  # of a hot anchor's contexts many agree on a piece: one of them goes on
+                fresh = _first_of_equal(ctx[mine, first : last + length], uid[mine], at[mine])
+                gone = mine[~fresh]
+                if len(gone):
+                    rows.append(_pack_spans(beyond + block, block, uid[gone], (base + np.maximum(lo, first))[gone], (base + np.minimum(hi, last + length))[gone]))
+                mine = mine[fresh]
             core = _row_hash(ctx[mine, last : first + length])
-            key = (((core >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+            key = (((core >> np.uint64(32)) * np.uint64(n_parts)) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(key, kind="stable")
-            mine, edges = mine[order], np.searchsorted(key[order], np.arange(parts + 1))
+            mine, edges = mine[order], np.searchsorted(key[order], np.arange(n_parts + 1))
             for p in np.flatnonzero(np.diff(edges)):
                 own = mine[edges[p] : edges[p + 1]]
                 raw = pa.compress(ctx[own, first : last + length].tobytes(), codec="zstd", asbytes=True)
-                rows.append((k * parts + int(p), block, len(own), pack(uid[own].astype("<i8"), (base[own] + first).astype("<i8")), raw))
+                rows.append((part0 + int(p), block, len(own), pack(uid[own].astype("<i8"), (base[own] + first).astype("<i8")), raw))
         return _context_table(rows)
 
     return docs.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(each, CONTEXTS)
@@ -271,18 +313,20 @@ def _contexts(docs: DataFrame, sums: DataFrame, parts: int, length: int, gram: i
 
 def _resolved(contexts: DataFrame, parts: int, length: int, gram: int) -> DataFrame:
     """Spans to remove, by block."""
+    pieces, beyond = _pieces(length, gram, parts)
+    starts = [p[3] for p in pieces]
 
     def each(table: pa.Table) -> pa.Table:
         part, block, sizes, packs, raw = (table.column(c).to_pylist() for c in ("part", "block", "n", "packed", "contexts"))
-        if part[0] >= 2 * parts:
+        if part[0] >= beyond:
             return table
-        first, last = _halves(length, gram)[part[0] // parts]
+        _, first, last, _, _ = pieces[bisect.bisect_right(starts, part[0]) - 1]
         width = last - first + length
         read = [unpack(p, ("<i8", n), ("<i8", n)) for n, p in zip(sizes, packs, strict=True)]
         uid, start = (np.concatenate(c) for c in zip(*read, strict=True))
         cols = np.concatenate([np.frombuffer(pa.decompress(r, decompressed_size=n * width, codec="zstd", asbytes=True), np.uint8).reshape(n, width) for n, r in zip(sizes, raw, strict=True)])
         owner = np.repeat(np.asarray(block), sizes)
-        fresh = _first_of_equal(_row_hash(cols), uid, start)
+        fresh = _first_of_equal(cols, uid, start)
         lo, hi = _bounds(cols)
         spans = [(owner[~fresh], uid[~fresh], (start + lo)[~fresh], (start + hi)[~fresh])]
         covered = _repeats(cols[fresh], uid[fresh], start[fresh], length)
@@ -305,8 +349,8 @@ RESULT = "uid long, n_bytes long, n_removed long, n_spans long, kept_sha256 stri
 
 def _cut(docs: DataFrame, spans: DataFrame, length: int, gram: int, with_text: bool) -> DataFrame:
     def each(table: pa.Table, found: pa.Table) -> pa.Table:
-        ids = table.column("uid").to_numpy()
-        texts = [(t or "").encode() for t in table.column("text").to_pylist()]
+        ids, texts = texts_of(table)
+        ids = ids.to_numpy()
         size = np.array([len(t) for t in texts], np.int64)
         start = np.cumsum(size + 1) - size - 1  # a gap after each text keeps runs apart
         mark = np.zeros(int((size + 1).sum()) + 1, np.int32)
@@ -331,7 +375,7 @@ def _cut(docs: DataFrame, spans: DataFrame, length: int, gram: int, with_text: b
     return docs.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(each, RESULT)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES, tiers: tuple[int, int] = TIERS) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; and kept, the bytes left, if with_text.
 
     Earlier means a smaller id, or the same document and an earlier start. A null text counts as empty. Null ids come first;
@@ -348,9 +392,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
         rows = rows.withColumn("uid", F.col("doc_id"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks, parts = max(12, -(-total // block_bytes)), max(12, -(-total // part_bytes))
-    held = rows.select("uid", "text", F.pmod(F.xxhash64("uid"), F.lit(blocks)).alias("block"))
+    held = blocked(rows.select("uid", "text"), blocks)
     sums = _parts_sent(held, parts, length, gram).groupBy("part").applyInArrow(sum_rows, SENT)
-    spans = _resolved(_contexts(held, sums, parts, length, gram), parts, length, gram)
+    spans = _resolved(_contexts(held, sums, parts, length, gram, tiers), parts, length, gram)
     out = _cut(held, spans, length, gram, with_text)
     if irregular:
         out = out.join(rows.select("uid", "doc_id"), "uid")

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm_data import by_id
 
-from tessera.llm.suffix_dedup import remove_repeats
+from tessera.llm.suffix_dedup import _first_of_equal, remove_repeats
 from tessera.llm.suffixes import suffix_array
 
 
@@ -64,6 +64,25 @@ def test_many_overlaps(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     check(df, rows, block_bytes=2000, part_bytes=1500)
     check(df, rows, length=40, gram=16)
+    check(df, rows, block_bytes=2000, part_bytes=1500, tiers=(3, 10))
+    check(df, rows, length=40, gram=16, block_bytes=900, tiers=(2, 5))
+
+
+def test_a_line_that_all_share(spark):
+    """Hot anchors: contexts of other neighbours around one line, in every tier."""
+    rng = random.Random(8)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(130))
+    noise = lambda n: "".join(rng.choice("ijklmnop ") for _ in range(n))
+    rows = [(i, noise(rng.randint(0, 90)) + line[: rng.choice((130, 130, 99, 101))] + noise(rng.randint(0, 90))) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for tiers in ((65_536, 262_144), (10, 1000), (5, 20)):
+        check(df, rows, block_bytes=1500, part_bytes=2000, tiers=tiers)
+
+
+def test_equal_hashes_of_other_bytes_stay_apart():
+    rows = np.array([[1, 2], [1, 2], [3, 4], [1, 2], [3, 4]], np.uint8)
+    first = _first_of_equal(rows, np.arange(5), np.zeros(5, np.int64), np.zeros(5, np.uint64))
+    assert first.tolist() == [True, False, True, False, True]
 
 
 def test_repeated_rows_and_null_ids(irregular, empty):
