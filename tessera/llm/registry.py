@@ -83,7 +83,8 @@ def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_model import lm_scores
 
     scores = lm_scores(documents(spark, sf_dir))  # rounded beyond what the order of a sum can change
-    return scores.withColumns({"log_score": F.round("log_score", 4), "mean_log_score": F.round("mean_log_score", 6)})
+    share = F.col("n_trigram") / F.greatest(F.col("n_words") - 2, F.lit(1))  # of its trigrams, those of other documents
+    return scores.withColumns({"log_score": F.round("log_score", 4), "mean_log_score": F.round("mean_log_score", 6), "trigram_share": F.round(share, 6)})
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +121,8 @@ s AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE three > 0) AS n3, cou
                     ELSE greatest(one, 1) / rest * pow(0.4::DOUBLE, least(i - 1, 2)) END)) AS score
       FROM m GROUP BY doc_id)
 SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(n3, 0) AS n_trigram, coalesce(n2, 0) AS n_bigram,
-       round(coalesce(score, 0), 4) AS log_score, round(score / n, 6) AS mean_log_score
+       round(coalesce(score, 0), 4) AS log_score, round(score / n, 6) AS mean_log_score,
+       round(coalesce(n3, 0) / greatest(coalesce(n, 0) - 2, 1), 6) AS trigram_share
 FROM documents LEFT JOIN s USING (doc_id)
 """
 
