@@ -23,7 +23,7 @@ MOST_TIMES = 3
 SLOTS = 1 << 18
 #: A source's line is laid out in buckets of about so many rows of the whole table.
 BUCKET_ROWS = 1 << 16
-MIN_BUCKETS = 8
+MIN_BUCKETS = 256
 CHUNK = 1 << 12
 GOLDEN = 0.6180339887498949
 WORD = r"[^\x20\x09-\x0D]+"

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 from oracle import DATA
 
 from tessera.llm import registry
-from tessera.llm.mixing import mix, mixed_documents, schedule, source_targets
+from tessera.llm.mixing import MIN_BUCKETS, mix, mixed_documents, schedule, source_targets
 
 
 def targets(sizes, weights=(5, 2, 1), most=3):
@@ -105,7 +105,7 @@ def test_taken_against_brute_force(edge, edge_rows):
 
     hashes = {r[0]: r[1] for r in edge.select("doc_id", F.xxhash64("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))))).collect()}
     for bucket_rows in (5, 1 << 16):
-        buckets = max(8, -(-len(edge_rows) // bucket_rows))
+        buckets = max(MIN_BUCKETS, -(-len(edge_rows) // bucket_rows))
         found = {r["doc_id"]: r for r in mix(edge, bucket_rows=bucket_rows).collect()}
         for source in {r[3] for r in edge_rows}:
             own = sorted((((hashes[r[0]] >> 20) % buckets, hashes[r[0]], r[0]) for r in edge_rows if r[3] == source))
