@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import relational as R
 from tessera.plans import registry
+from tessera.plans.engine import Engine
 
 KINDS = ("inner", "left", "right", "full", "left_semi", "left_anti")
 COMPARE = {None: lambda x, y: True, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
@@ -68,9 +69,23 @@ def one_key(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", [*(f"{f}_{k}" for f in ("join", "join_ineq", "join_null_safe", "join_multi_key", "join_null_safe_mixed_keys") for k in KINDS[:4])])
+@pytest.mark.parametrize("name", [*(f"{f}_{k}" for f in ("join", "join_ineq", "join_null_safe", "join_multi_key", "join_null_safe_mixed_keys") for k in KINDS[:4]), *(f"sql_join_{k}" for k in (*KINDS[:4], "null_safe_full"))])
 def test_pairs_of_one_key_are_the_work_of_many_tasks(name, spark, one_key):
     tasks = registry.queries()[name](spark, one_key).where("a IS NOT NULL AND b IS NOT NULL").groupBy(F.spark_partition_id()).count().collect()
     ineq = sum(min(3000, max(0, (a - 49) // 2)) for a in range(9000))
     assert sum(r["count"] for r in tasks) == (ineq if "ineq" in name else 9000 * 3000)
     assert len(tasks) >= 3
+
+
+@pytest.mark.parametrize("text", (
+    "SELECT x.n_name, y.n_nationkey AS k FROM nation AS x JOIN nation AS y ON x.n_regionkey = y.n_regionkey AND y.n_nationkey > x.n_nationkey",
+    "SELECT x.n_name, x.n_regionkey AS p, y.n_regionkey AS q FROM nation AS x FULL JOIN (SELECT * FROM nation WHERE n_regionkey > 1) AS y ON y.n_regionkey IS NOT DISTINCT FROM nullif(x.n_regionkey, 2);",
+    "SELECT s_suppkey FROM supplier ANTI JOIN nation ON n_regionkey * 20 > s_suppkey",
+    "SELECT n_name, r_name FROM nation LEFT JOIN region ON r_regionkey <= n_regionkey - 1",
+))
+def test_texts_of_many_pairs(text, spark, duck):
+    from oracle import DATA, assert_same
+
+    engine = Engine(spark, DATA)
+    assert "tessera" in engine.translate(text)
+    assert_same(engine.sql(text), duck, text)
